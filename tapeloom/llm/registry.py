@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions.session import ship_package
-from tapeloom.llm import langid, packing, simhash, toxicity
+from tapeloom.llm import chat, decontamination, html_text, langid, neighbours, packing, secrets, simhash, toxicity, urls
 from tapeloom.llm.common import crc_fold, in_fold
 
 #: Rows handed to a Python worker at once; bounds its memory for long texts.
@@ -36,6 +36,26 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.detect_language(docs, model).select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+#: The rules that op2 is given.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secrets.scan_secrets(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] < 3)
+
+    def n(rank: int):
+        return F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
+
+    return scanned.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
+                          F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list(F.col("spans")).alias("spans"),
+                          F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), byte_bpe_path())
 
@@ -47,20 +67,100 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(read(spark, sf_dir, "pages")).select("page_id", "text")
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated_pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+#: The conversation that op10 adds to the table: its text holds the template's own control strings.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], rows.schema)
+    return chat.read_back(chat.format_chats(rows.unionByName(extra)))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_url_filter": op2_url_filter,
+    "op3_secret_scan": op3_secret_scan,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
+    "op6_html_text": op6_html_text,
+    "op7_neighbours": op7_neighbours,
     "op8_simhash": op8_simhash,
+    "op9_decontamination": op9_decontamination,
+    "op10_chat": op10_chat,
 }
 
+def secrets_sql() -> str:
+    """op3 in SQL: positions from the lengths of what stands between the matches."""
+    def matches(kind: int, pattern: str, value: str, keep: str) -> str:
+        quoted = pattern.replace("'", "''")
+        return f"""
+SELECT rid, doc_id, owner, {kind} AS rank, pos AS start, pos + length(hit) AS stop, {value} AS value FROM (
+  SELECT rid, doc_id, owner, hits[k] AS hit,
+    list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k-1], lambda x: length(x))), 0) AS pos
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM (
+    SELECT rid, doc_id, owner, regexp_extract_all(text, '{quoted}') AS hits, string_split_regex(text, '{quoted}') AS gaps FROM docs)))
+WHERE {keep}"""
+
+    assign = "regexp_extract(hit, '" + secrets.ASSIGN.replace("'", "''") + "', 1)"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, chr(1)) AS owner FROM documents),
+base AS ({matches(0, secrets.ASSIGN, assign, f"length({assign}) >= {secrets.ASSIGN_VALUE}")}
+UNION ALL {matches(1, secrets.ACCESS, "hit", "true")}
+UNION ALL {matches(2, secrets.HEX, "hit", "true")}),
+more AS ({matches(3, secrets.OWNED, "hit", "regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]')")}),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM more m WHERE NOT EXISTS (
+  SELECT 1 FROM base b WHERE b.rid = m.rid AND b.start < m.stop AND m.start < b.stop)),
+owned AS (SELECT value, count(DISTINCT owner) AS owners FROM spans GROUP BY value),
+judged AS (SELECT s.*, o.owners <= 2 AS live, ['assign', 'access', 'hex', 'owned'][rank + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS shown
+  FROM spans s JOIN owned o USING (value) WHERE rank < 3 OR o.owners <= 2),
+found AS (SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+  string_agg(shown, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(shown, ',' ORDER BY start, rank) AS spans, count(*) FILTER (live) AS n_live
+  FROM judged GROUP BY rid)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM docs d LEFT JOIN found f USING (rid)
+"""
+
+
 #: DuckDB SQL for the operators that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_chat": r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (
+  SELECT *, length(replace(replace(replace(role, '\', '\\'), ':', '\c'), chr(10), '\n')) AS role_chars,
+    CASE WHEN contains(text, '###') OR contains(text, '</turn>') OR starts_with(text, '\~')
+      THEN 2 + length(replace(replace(replace(text, '\', '\\'), '#', '\h'), '<', '\l')) ELSE length(text) END AS text_chars
+  FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST(sum(4 + role_chars + 2 + text_chars + 8) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+""",
+    "op3_secret_scan": secrets_sql(),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
