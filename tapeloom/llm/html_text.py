@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,6 +35,8 @@ IMPLIED_END = {
 }
 _ENDS_P = BLOCK - {"html", "body", "option", "optgroup", "legend"}
 _P_BORDER = frozenset({"td", "th", "table", "button", "object", "caption"})
+#: Tables within tables beyond this depth are rendered as blocks without columns.
+DEEPEST_TABLE = 16
 _TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _HIDDEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
@@ -57,19 +60,25 @@ def build_tree(source: str) -> Node:
         if piece:
             stack[-1].children.append(html.unescape(piece) if "&" in piece else piece)
 
+    opened: Counter[str] = Counter()
+
+    def cut(k: int) -> None:
+        opened.subtract(n.name for n in stack[k:])
+        del stack[k:]
+
     def close(names: set[str] | frozenset[str], borders: set[str] | frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
+        """Close open elements of these names, the nearest border being the limit."""
+        k = len(stack) - 1
+        while k > 0 and any(opened[n] > 0 for n in names) and stack[k].name not in borders:
             if stack[k].name in names:
-                del stack[k:]
-                return close(names, borders)
-            if stack[k].name in borders:
-                return None
-        return None
+                cut(k)
+            k -= 1
 
     def open_(name: str, attrs: dict[str, str] | None = None, hidden: bool = False) -> None:
         node = Node(name, hidden, attrs)
         stack[-1].children.append(node)
         stack.append(node)
+        opened[name] += 1
 
     while at < size:
         m = _TAG.search(source, at)
@@ -81,12 +90,14 @@ def build_tree(source: str) -> Node:
         if not name:
             continue
         if m[1]:
-            if name == "p" and not any(n.name == "p" for n in stack):
+            if name == "p" and opened["p"] <= 0:
                 open_("p")
+            if opened[name] <= 0:
+                continue
             borders = {"table"} if name not in ("table", "body", "html") else set()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].name in borders and name not in ("caption", "td", "th", "tr", "tbody", "thead", "tfoot"):
                     break
@@ -109,7 +120,7 @@ def build_tree(source: str) -> Node:
             at = end.end() if end else size
             if name in ("textarea", "title"):
                 text(piece)
-            stack.pop()
+            cut(len(stack) - 1)
     return root
 
 
@@ -166,7 +177,7 @@ def _hidden(node: Node) -> bool:
     return node.hidden or node.name in INVISIBLE
 
 
-def _render(node: Node, out: _Out, pre: bool, lists: list[list]) -> None:
+def _render(node: Node, out: _Out, pre: bool, lists: list[list], tables: int = 0) -> None:
     # an explicit stack: pages may nest deeper than Python recurses
     todo: list[tuple] = [("open", node, pre)]
     while todo:
@@ -196,9 +207,9 @@ def _render(node: Node, out: _Out, pre: bool, lists: list[list]) -> None:
                 if item.attrs.get("alt"):
                     out.text(html.unescape(item.attrs["alt"]), False)
                 continue
-            if name == "table":
+            if name == "table" and tables < DEEPEST_TABLE:
                 out.block(2)
-                grid = _table(item)
+                grid = _table(item, tables + 1)
                 if grid:
                     out.raw(grid)
                 out.block(2)
@@ -221,7 +232,7 @@ def _render(node: Node, out: _Out, pre: bool, lists: list[list]) -> None:
             todo += [("text", c, inner) if isinstance(c, str) else ("open", c, inner) for c in reversed(item.children)]
 
 
-def _rows(table: Node) -> tuple[list[str], list[list[str]]]:
+def _rows(table: Node, tables: int) -> tuple[list[str], list[list[str]]]:
     captions, rows = [], []
     todo = list(reversed(table.children))
     while todo:
@@ -240,26 +251,26 @@ def _rows(table: Node) -> tuple[list[str], list[list[str]]]:
                     if c.strip():
                         cells.append(_SPACE.sub(" ", c).strip())
                 elif not _hidden(c):
-                    cells.append(_cell(c))
+                    cells.append(_cell(c, tables))
                     span = c.attrs.get("colspan", "1")
                     cells += [""] * (min(int(span), 1000) - 1 if re.fullmatch(r"\d{1,6}", span) and int(span) > 1 else 0)
             rows.append(cells)
         else:
-            captions.append(_cell(node))
+            captions.append(_cell(node, tables))
     return captions, rows
 
 
-def _cell(node: Node) -> str:
+def _cell(node: Node, tables: int) -> str:
     out = _Out()
     inner = Node("#cell")
     inner.children = node.children if node.name in ("td", "th", "caption") else [node]
-    _render(inner, out, False, [])
+    _render(inner, out, False, [], tables)
     return out.result()
 
 
-def _table(table: Node) -> str:
+def _table(table: Node, tables: int) -> str:
     """Captions, then rows with cells padded to their column; a cell's lines stay in it."""
-    captions, rows = _rows(table)
+    captions, rows = _rows(table, tables)
     split = [[cell.split("\n") for cell in row] for row in rows]
     width: list[int] = []
     for row in split:
@@ -286,7 +297,8 @@ def extract_text(pages: DataFrame, html_col: str = "html", out_col: str = "text"
     """``pages`` with the visible text of each whole page.
 
     Null and empty pages give an empty text; malformed markup never fails: what
-    is not a tag is text. Rows and other columns stay; a column named
+    is not a tag is text. Cells of tables nested more than ``DEEPEST_TABLE``
+    deep are set as blocks. Rows and other columns stay; a column named
     ``out_col`` is replaced.
     """
 
