@@ -79,7 +79,7 @@ def fit_ftrl(examples: list[np.ndarray], labels: list[int], bits: int = 20, alph
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, train_if: Column, id_col: str = "doc_id", text_col: str = "text",
-                   label_col: str = "toxic", max_rows_per_class: int = 4000, bits: int = 20) -> SparseModel:
+                   label_col: str = "toxic", max_rows_per_class: int = 2000, bits: int = 20) -> SparseModel:
     """Fit on at most about ``max_rows_per_class`` labelled rows of each class.
 
     The rows are those of least hash of their id, so the sample is the same on
@@ -97,16 +97,15 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train_if: Column, id_col:
     share = {y: min(1.0, max_rows_per_class / n) for y, n in counts.items()}
     dice = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = known.where(dice < F.when(F.col("_y") == 1, share[1]).otherwise(share[0]))
-    picked = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(sample, "_id")
-              .dropDuplicates(["_id"]))
+    few = F.broadcast(sample.limit(3 * max_rows_per_class))  # ids and labels only, of a stated number of rows
+    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(few, "_id").dropDuplicates(["_id"])
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def distinct_features(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: np.unique(feature_ids(t, bits)).astype(np.int32))
+        return text.map(lambda t: np.unique(feature_ids(t, bits)).astype(np.int32).tobytes(), na_action=None)
 
-    rows = picked.select("_id", "_y", distinct_features("_text").alias("f")).limit(3 * max_rows_per_class).toPandas()
-    rows = rows.sort_values("_id")
-    return fit_ftrl([np.asarray(f, np.int64) for f in rows["f"]], rows["_y"].tolist(), bits)
+    rows = picked.select("_id", "_y", distinct_features("_text").alias("f")).limit(3 * max_rows_per_class).toPandas().sort_values("_id")
+    return fit_ftrl([np.frombuffer(f, np.int32) for f in rows["f"]], rows["_y"].tolist(), bits)
 
 
 _TABLES: dict[bytes, np.ndarray] = {}
