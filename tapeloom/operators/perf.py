@@ -111,7 +111,7 @@ def rebuild_nav(trades: DataFrame, holdings: DataFrame, capital: float) -> DataF
 
 def monthly_returns(returns: DataFrame, by: Sequence[str] = ("portfolio",)) -> DataFrame:
     """Compound return per year with one column a month."""
-    monthly = returns.groupBy(*by, F.year("day").alias("year")).pivot(F.month("day"), list(range(1, 13)))
+    monthly = returns.withColumns({"year": F.year("day"), "month": F.month("day")}).groupBy(*by, "year").pivot("month", list(range(1, 13)))
     return monthly.agg(F.product(1 + F.col("r")) - 1)
 
 
