@@ -241,3 +241,34 @@ def factor_runs(factors: DataFrame, spike_low: float = 0.5, spike_high: float =
     w = Window.partitionBy("code").orderBy("day")
     jump = F.col("factor") / F.lag("factor").over(w)
     return seg.withColumn("_j", jump).where(~F.coalesce((F.col("day") == F.col("last_day")) & ((F.col("_j") < spike_low) | (F.col("_j") > spike_high)), F.lit(False))).drop("_j")
+
+
+def write_front(stored: DataFrame, fresh: DataFrame, prices: Sequence[str] = PRICES) -> DataFrame:
+    """``stored`` with the adjusted columns of ``fresh`` where its (code, day) has a fresh row; nothing else changes (Q9)."""
+    new = fresh.select("code", "day", *[F.col(f"{p}_front").alias(f"_{p}") for p in prices], F.lit(True).alias("_fresh"))
+    joined = stored.join(new, ["code", "day"], "left")
+    return joined.withColumns({f"{p}_front": F.when(F.col("_fresh"), F.col(f"_{p}")).otherwise(F.col(f"{p}_front")) for p in prices}).select(*stored.columns)
+
+
+def post_checks(before: DataFrame, after: DataFrame, tolerance: float = 1e-3) -> DataFrame:
+    """Violations per check after a rewrite: rows kept, price relation, one scale per row, returns as before but at scale changes (Q14)."""
+    w = Window.partitionBy("code").orderBy("day")
+    scale = [F.col(f"{p}_front") / F.col(p) for p in PRICES]
+    mean = (scale[0] + scale[1] + scale[2] + scale[3]) / 4
+    rows = after.withColumn("_s", mean).withColumn("_r", F.col("close_front") / F.lag("close_front").over(w)).withColumn("_q", F.col("close") / F.lag("close").over(w)).withColumn("_same", F.abs(F.col("_s") / F.lag("_s").over(w) - 1) <= tolerance)
+    counts = rows.agg(F.count_if((F.col("high_front") < F.greatest("open_front", "low_front", "close_front") - 1e-9) | (F.col("low_front") > F.least("open_front", "high_front", "close_front") + 1e-9)).alias("PriceRelation"),
+                      F.count_if(F.greatest(*[F.abs(x / mean - 1) for x in scale]) > tolerance).alias("ScaleConsistency"),
+                      F.count_if(F.col("_same") & (F.abs(F.col("_r") / F.col("_q") - 1) > 2 * tolerance)).alias("ReturnConsistency"))
+    lost = before.select("code", "day").join(after.select("code", "day"), ["code", "day"], "left_anti").agg(F.count("*").alias("RowConservation"))
+    both = counts.crossJoin(lost)  # one row each
+    names = ("PriceRelation", "ScaleConsistency", "ReturnConsistency", "RowConservation")
+    return both.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("count")) for n in names])).alias("r")).select("r.*")
+
+
+def grid_coverage(minutes: DataFrame, grid: DataFrame) -> DataFrame:
+    """Per code and day: expected, present, missing and illegal minute bars (Q15). ``grid``: day, minute."""
+    have = minutes.select("code", F.to_date("ts").alias("day"), (F.hour("ts") * 60 + F.minute("ts")).alias("minute")).distinct()
+    legal = have.join(grid.select("day", "minute", F.lit(1).alias("_g")), ["day", "minute"], "left")
+    size = grid.groupBy("day").agg(F.count("*").alias("expected"))
+    per = legal.groupBy("code", "day").agg(F.count("_g").alias("present"), F.count_if(F.col("_g").isNull()).alias("illegal"))
+    return per.join(size, "day").withColumn("missing", F.col("expected") - F.col("present")).select("code", "day", "expected", "present", "missing", "illegal")

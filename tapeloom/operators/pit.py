@@ -194,3 +194,21 @@ def changed_stable_absent(universe: DataFrame, factors: DataFrame, start, end) -
     moved = factors.withColumn("_p", F.lag("factor").over(w)).where(F.col("day").between(_day(start), _day(end)))
     state = moved.groupBy("code").agg(F.max((F.col("_p").isNotNull() & (F.col("_p") != F.col("factor"))).cast("int")).alias("_c"))
     return universe.select("code").distinct().join(state, "code", "left").select("code", F.when(F.col("_c").isNull(), "absent").when(F.col("_c") == 1, "changed").otherwise("stable").alias("state"))
+
+
+def last_day_codes(bars: DataFrame, condition: Column | None = None, pattern: str | None = None) -> DataFrame:
+    """Distinct codes of the table's last day by a predicate or a code pattern."""
+    last = bars.agg(F.max("day").alias("day"))
+    rows = bars.join(F.broadcast(last), "day")  # one row
+    rows = rows if condition is None else rows.where(condition)
+    rows = rows if pattern is None else rows.where(F.col("code").rlike(pattern))
+    return rows.select("code").distinct()
+
+
+def events_by_type(events: DataFrame, kind: str, start=None, end=None, codes: DataFrame | None = None) -> DataFrame:
+    """Events of a type and span in a full order, missing effective days last."""
+    rows = events.where(F.col("event_type") == kind)
+    rows = rows if start is None else rows.where(F.col("effective_date") >= _day(start))
+    rows = rows if end is None else rows.where(F.col("effective_date") <= _day(end))
+    rows = rows if codes is None else rows.join(codes.select("code"), "code", "left_semi")
+    return rows.orderBy(F.col("effective_date").asc_nulls_last(), F.col("source_key"))
