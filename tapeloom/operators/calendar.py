@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.operators.kernels import asof
+
 #: Milliseconds from UTC to the exchange's clock (UTC+8, no summer time).
 ZONE_MS = 28_800_000
 DAY_MS = 86_400_000
@@ -64,3 +66,15 @@ def day_start_ms(ms: Column) -> Column:
 
 def day_end_ms(ms: Column) -> Column:
     return day_start_ms(ms) + DAY_MS - 1
+
+
+def next_trading_day(df: DataFrame, days: DataFrame, date: str, within: int = 14, out_col: str = "effective") -> DataFrame:
+    """First trading day strictly after each date, at most ``within`` days on.
+
+    Only the distinct dates are looked up, so however many rows share one, the
+    ordered work is over the calendar.
+    """
+    dates = df.select(F.col(date).alias("_d")).where(F.col("_d").isNotNull()).distinct().withColumn("_k", F.lit(1))
+    calendar = days.select(F.col("day").alias("_n")).distinct().select(F.lit(1).alias("_k"), "_n", F.col("_n").alias(out_col))
+    found = asof(dates, calendar, ["_k"], "_d", "_n", [out_col], direction="forward", allow_exact=False, tolerance=within)
+    return df.join(found.select(F.col("_d").alias(date), out_col), date, "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import indicators as ind
 from tapeloom.operators import bars as B
 from tapeloom.operators import kernels as K
+from tapeloom.operators.calendar import next_trading_day
 from tapeloom.plans.base import BY_CODE, lag, over, query, rolled, round_sql, rounded, stages
 from tapeloom.sources.testmap import BARS, FACTORS, REPORTS, TICKS, daily_bars, factors, reports, ticks
 
@@ -95,13 +96,13 @@ def w8(spark: S, d: str) -> DataFrame:
     return df.withColumn("pct", F.round(K.percent_rank_average(F.col("mom"), ["day"]), 6)).where(F.col("mom").isNotNull()).select("code", "day", "pct")
 
 
-@query("w9_winsorize", f"""WITH b AS (SELECT code, year(day) AS y, close FROM ({BARS})),
-r AS (SELECT *, floor(count(close) OVER (PARTITION BY y) * 0.05) AS k, row_number() OVER (PARTITION BY y ORDER BY close) AS a, row_number() OVER (PARTITION BY y ORDER BY close DESC) AS d FROM b),
-c AS (SELECT *, max(CASE WHEN a = k + 1 THEN close END) OVER (PARTITION BY y) AS lo, max(CASE WHEN d = k + 1 THEN close END) OVER (PARTITION BY y) AS hi FROM r)
-SELECT y, count(*) AS n, round(sum(greatest(least(close, hi), lo)), 2) AS total, min(greatest(least(close, hi), lo)) AS low, max(greatest(least(close, hi), lo)) AS high FROM c GROUP BY y""")
+@query("w9_winsorize", f"""WITH b AS (SELECT code, day, close FROM ({BARS})),
+r AS (SELECT *, floor(count(close) OVER (PARTITION BY day) * 0.1) AS k, row_number() OVER (PARTITION BY day ORDER BY close) AS a, row_number() OVER (PARTITION BY day ORDER BY close DESC) AS d FROM b),
+c AS (SELECT *, max(CASE WHEN a = k + 1 THEN close END) OVER (PARTITION BY day) AS lo, max(CASE WHEN d = k + 1 THEN close END) OVER (PARTITION BY day) AS hi FROM r)
+SELECT code, day, greatest(least(close, hi), lo) AS close FROM c""")
 def w9(spark: S, d: str) -> DataFrame:
-    bars = daily_bars(spark, d).select("code", F.year("day").cast("long").alias("y"), "close")
-    return K.winsorize(bars, "close", ["y"], 0.05, "w").groupBy("y").agg(F.count("*").alias("n"), F.round(F.sum("w"), 2).alias("total"), F.min("w").alias("low"), F.max("w").alias("high"))
+    bars = daily_bars(spark, d).select("code", "day", "close")
+    return K.winsorize(bars, "close", ["day"], 0.1, "w").select("code", "day", F.col("w").alias("close"))
 
 
 @query("w10_drawdown", stages(BARS, [{"peak": over("max(close)", "ROWS UNBOUNDED PRECEDING")}], "code, round(min(close / peak - 1), 8) AS worst", "GROUP BY code"))
@@ -142,12 +143,7 @@ def j3(spark: S, d: str) -> DataFrame:
 @query("j4_next_trading_day", f"""WITH d AS (SELECT DISTINCT day FROM ({BARS})), e AS (SELECT id, ann_date FROM ({REPORTS}))
 SELECT e.id, CASE WHEN datediff('day', e.ann_date, d.day) <= 14 THEN d.day END AS effective FROM e ASOF LEFT JOIN d ON e.ann_date < d.day""")
 def j4(spark: S, d: str) -> DataFrame:
-    days = daily_bars(spark, d).select("day").distinct().withColumn("k", F.lit(1)).withColumn("effective", F.col("day"))
-    # all events share one key here, so they are spread by year; the calendar of a year reaches into the next
-    y = F.year("day")
-    spread = days.select("day", "effective", F.explode(F.array(y, y - 1)).alias("y")).where((F.col("y") == F.year("day")) | (F.dayofyear("day") <= 31))
-    events = reports(spark, d).select("id", "ann_date", F.year("ann_date").alias("y"))
-    return K.asof(events, spread, ["y"], "ann_date", "day", ["effective"], direction="forward", allow_exact=False, tolerance=14).select("id", "effective")
+    return next_trading_day(reports(spark, d).select("id", "ann_date"), daily_bars(spark, d), "ann_date").select("id", "effective")
 
 
 @query("j6_range_min", f"""SELECT l.code, l.day, min(r.value) AS low, count(r.value) AS n FROM ({BARS}) l
