@@ -85,15 +85,19 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train_if: Column, id_col:
     The rows are those of least hash of their id, so the sample is the same on
     every run and its size does not grow with the input. Rows with a null id,
     a label other than 0 or 1, or an id labelled both ways are not used. With
-    no rows of a class, the model is the constant of the other one (0.5 when
-    there is none at all, which predicts 1).
+    no rows of a class, the model is constant: label 1 only if all known rows
+    have it, else label 0, so that nothing is rejected for want of labels.
     """
     known = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).where(train_if)
              .groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y"), F.max(label_col).alias("_y1"))
              .where("_y = _y1").select("_id", "_y"))
     counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
+
+    def constant(classes: set[int]) -> SparseModel:
+        return SparseModel(bits, 4.0 if classes == {1} else -4.0, np.zeros(0, np.int64), np.zeros(0))
+
     if len(counts) < 2:
-        return SparseModel(bits, {(): 0.0, (0,): -4.0, (1,): 4.0}[tuple(counts)], np.zeros(0, np.int64), np.zeros(0))
+        return constant(set(counts))
     share = {y: min(1.0, max_rows_per_class / n) for y, n in counts.items()}
     dice = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = known.where(dice < F.when(F.col("_y") == 1, share[1]).otherwise(share[0]))
@@ -105,6 +109,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train_if: Column, id_col:
         return text.map(lambda t: np.unique(feature_ids(t, bits)).astype(np.int32).tobytes(), na_action=None)
 
     rows = picked.select("_id", "_y", distinct_features("_text").alias("f")).limit(3 * max_rows_per_class).toPandas().sort_values("_id")
+    if rows["_y"].nunique() < 2:
+        return constant(set(rows["_y"]))
     return fit_ftrl([np.frombuffer(f, np.int32) for f in rows["f"]], rows["_y"].tolist(), bits)
 
 

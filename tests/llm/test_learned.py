@@ -67,7 +67,9 @@ def test_toxicity_edges(spark):
     rows = docs(spark, ["a b", None, "", "a " * 50_000, "a b"])
     none = toxicity.train_toxicity(rows, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
     one = toxicity.train_toxicity(rows, spark.createDataFrame([(1, 0), (1, 0), (2, None)], "doc_id long, toxic int"), F.lit(True))
-    assert toxicity.score_toxicity(rows, none).where("score = 0.5").count() == 5
+    assert toxicity.score_toxicity(rows, none).where("score < 0.5").count() == 5
+    elsewhere = toxicity.train_toxicity(rows, spark.createDataFrame([(901, 0), (902, 1)], "doc_id long, toxic int"), F.lit(True))
+    assert toxicity.drop_toxic(rows, elsewhere).count() == 5
     assert toxicity.score_toxicity(rows, one).where("score < 0.5").count() == 5
     assert toxicity.score_toxicity(rows.limit(0), one).count() == 0
     clash = toxicity.drop_toxic(rows.withColumn("toxic_score", F.lit(9)), one)
