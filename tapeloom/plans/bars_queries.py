@@ -58,7 +58,7 @@ def s18(spark: S, d: str) -> DataFrame:
 
 # windows
 
-@query("w1_last_n_bars", f"""SELECT code, day, close, -n AS idx FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY day DESC) AS n FROM ({BARS})
+@query("w1_last_n_bars", f"""SELECT code, day, close, CAST(-n AS INTEGER) AS idx FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY day DESC) AS n FROM ({BARS})
   WHERE day <= DATE '2000-06-30') WHERE n <= 20""")
 def w1(spark: S, d: str) -> DataFrame:
     return B.last_bars(daily_bars(spark, d), 20, "2000-06-30").select("code", "day", "close", "idx")
@@ -312,7 +312,7 @@ def ema_last(spark: S, d: str) -> DataFrame:
 
 
 @query("k1_top_k_per_day", f"""WITH b AS (SELECT code, day, amount, close, row_number() OVER (PARTITION BY day ORDER BY amount DESC, close, code) AS n FROM ({BARS}))
-SELECT code, day, amount, n AS rank FROM b WHERE n <= 5""")
+SELECT code, day, amount, CAST(n AS INTEGER) AS rank FROM b WHERE n <= 5""")
 def k1(spark: S, d: str) -> DataFrame:
     w = Window.partitionBy("day").orderBy(F.desc("amount"), "close", "code")
     return daily_bars(spark, d).withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("code", "day", "amount", "rank")
@@ -329,7 +329,7 @@ def k2(spark: S, d: str) -> DataFrame:
 @query("entry_momentum_top5", stages(BARS, [{"ma20": rolled("avg", "close", 20), "prev": lag("close", 20)}, {"mom": "close / prev - 1"},
        {"n": "count(mom) OVER (PARTITION BY day)", "r": "rank() OVER (PARTITION BY day ORDER BY mom NULLS LAST)", "c": "count(mom) OVER (PARTITION BY day, mom)",
         "k": "row_number() OVER (PARTITION BY day ORDER BY mom DESC NULLS LAST, code)"}],
-       "code, day, round(close, 4) AS close, round(ma20, 4) AS ma20, round((r + (c - 1) / 2.0) / n, 6) AS pct, k AS rank", "WHERE k <= 5 AND mom IS NOT NULL"))
+       "code, day, round(close, 4) AS close, round(ma20, 4) AS ma20, round((r + (c - 1) / 2.0) / n, 6) AS pct, CAST(k AS INTEGER) AS rank", "WHERE k <= 5 AND mom IS NOT NULL"))
 def momentum_top5(spark: S, d: str) -> DataFrame:
     s = ind.Series(daily_bars(spark, d))
     df = s.let(ma20=s.ma("close", 20), mom=F.col("close") / s.ref("close", 20) - 1).df.where(F.col("mom").isNotNull())

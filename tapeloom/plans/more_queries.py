@@ -54,7 +54,7 @@ def q14(spark: S, d: str) -> DataFrame:
 
 
 @query("q15_grid_coverage", f"""WITH h AS (SELECT DISTINCT code, CAST(ts AS DATE) AS day, hour(ts) * 60 + minute(ts) AS m FROM ({TICKS})), g AS (SELECT *, m BETWEEN 570 AND 690 OR m BETWEEN 781 AND 900 AS ok FROM h)
-SELECT code, day, 241 AS expected, count(*) FILTER (ok) AS present, 241 - count(*) FILTER (ok) AS missing, count(*) FILTER (NOT ok) AS illegal FROM g GROUP BY 1, 2""")
+SELECT code, day, CAST(241 AS BIGINT) AS expected, count(*) FILTER (ok) AS present, 241 - count(*) FILTER (ok) AS missing, count(*) FILTER (NOT ok) AS illegal FROM g GROUP BY 1, 2""")
 def q15(spark: S, d: str) -> DataFrame:
     t = ticks(spark, d)
     return A.grid_coverage(t, cal.minute_grid(t.select(F.to_date("ts").alias("day")).distinct()))

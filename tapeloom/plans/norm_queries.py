@@ -125,7 +125,7 @@ def p20(spark: S, d: str) -> DataFrame:
 
 # calendar
 
-@query("i1_calendar_index", f"""WITH d AS (SELECT DISTINCT day FROM ({BARS})) SELECT day, row_number() OVER (ORDER BY day) AS pos, lag(day) OVER (ORDER BY day) AS previous, lead(day) OVER (ORDER BY day) AS next FROM d""")
+@query("i1_calendar_index", f"""WITH d AS (SELECT DISTINCT day FROM ({BARS})) SELECT day, CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS pos, lag(day) OVER (ORDER BY day) AS previous, lead(day) OVER (ORDER BY day) AS next FROM d""")
 def i1(spark: S, d: str) -> DataFrame:
     return cal.indexed(daily_bars(spark, d).select("day").distinct())
 

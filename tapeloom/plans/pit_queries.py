@@ -269,7 +269,7 @@ def _staged(spark: S, d: str) -> DataFrame:
     return daily_bars(spark, d).select("code", "day", *A.PRICES, *[(F.col(p) * 0.8).alias(f"{p}_front") for p in ("open", "high", "close")], F.when(k % 31 == 0, None).when(k % 37 == 0, F.col("low")).otherwise(F.col("low") * 0.8).alias("low_front"))
 
 
-@query("q8_staging_checks", f"""SELECT code, count(*) FILTER (k % 31 = 0) AS missing, 0 AS doubled, 0 AS not_positive, count(*) FILTER (k % 31 <> 0 AND k % 37 = 0) AS inconsistent FROM (SELECT code, CAST(code AS INT) + dayofyear(day) AS k FROM ({BARS})) GROUP BY code""")
+@query("q8_staging_checks", f"""SELECT code, count(*) FILTER (k % 31 = 0) AS missing, CAST(0 AS BIGINT) AS doubled, CAST(0 AS BIGINT) AS not_positive, count(*) FILTER (k % 31 <> 0 AND k % 37 = 0) AS inconsistent FROM (SELECT code, CAST(code AS INT) + dayofyear(day) AS k FROM ({BARS})) GROUP BY code""")
 def q8(spark: S, d: str) -> DataFrame:
     return A.staging_violations(_staged(spark, d))
 
@@ -295,8 +295,8 @@ def q12(spark: S, d: str) -> DataFrame:
     return A.golden_check(A.apply_segments(stored, seg), stored, seg).select("code", "samples", "ok")
 
 
-@query("j18_diff_tables", f"""SELECT 'close' AS "column", count(*) FILTER (k % 31 = 0) AS different, 0 AS one_null, 1.0 AS max_abs FROM (SELECT CAST(code AS INT) + dayofyear(day) AS k FROM ({BARS}))
-UNION ALL SELECT 'volume', 0, count(*) FILTER (k % 29 = 0), 0.0 FROM (SELECT CAST(code AS INT) + dayofyear(day) AS k FROM ({BARS}))""")
+@query("j18_diff_tables", f"""SELECT 'close' AS "column", count(*) FILTER (k % 31 = 0) AS different, 0 AS one_null, 1.0::DOUBLE AS max_abs FROM (SELECT CAST(code AS INT) + dayofyear(day) AS k FROM ({BARS}))
+UNION ALL SELECT 'volume', 0, count(*) FILTER (k % 29 = 0), 0.0::DOUBLE FROM (SELECT CAST(code AS INT) + dayofyear(day) AS k FROM ({BARS}))""")
 def j18(spark: S, d: str) -> DataFrame:
     k, bars = F.col("code").cast("int") + F.dayofyear("day"), daily_bars(spark, d)
     other = bars.select("code", "day", F.when(k % 31 == 0, F.col("close") + 1.0).otherwise(F.col("close")).alias("close"), F.when(k % 29 != 0, F.col("volume")).alias("volume"))

@@ -12,7 +12,7 @@ from tapeloom.sources.testmap import BARS, REPORTS, code_of, daily_bars, reports
 S = SparkSession
 
 
-@query("x1_momentum_top", stages(BARS, [{"score": f"close / {lag('close', 2)} - 1"}, {"rank": "row_number() OVER (PARTITION BY day ORDER BY score DESC NULLS LAST, code)"}], "day, code, round(score, 8) AS score, rank", "WHERE rank <= 2 AND score IS NOT NULL"))
+@query("x1_momentum_top", stages(BARS, [{"score": f"close / {lag('close', 2)} - 1"}, {"rank": "row_number() OVER (PARTITION BY day ORDER BY score DESC NULLS LAST, code)"}], "day, code, round(score, 8) AS score, CAST(rank AS INTEGER) AS rank", "WHERE rank <= 2 AND score IS NOT NULL"))
 def x1(spark: S, d: str) -> DataFrame:
     return X.momentum_top(daily_bars(spark, d)).withColumn("score", F.round("score", 8))
 
@@ -22,14 +22,14 @@ def _pct(x: str) -> str:
 
 
 @query("x2_theme_rotation", stages(BARS, [{"amt": rolled("avg", "amount", 20)} | {f"ma{n}": rolled("avg", "close", n) for n in (5, 10, 20, 60)} | {f"m{n}": f"close / {lag('close', n)} - 1" for n in (5, 10, 20)}], "*")
-       .replace("SELECT * FROM t1", f"""SELECT day, code, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY round(score, 9) DESC, code) AS rank FROM (SELECT *, 0.6 * ({_pct('m5')} + {_pct('m10')} + {_pct('m20')}) / 3 +
+       .replace("SELECT * FROM t1", f"""SELECT day, code, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY round(score, 9) DESC, code) AS rank FROM (SELECT *, 0.6 * ({_pct('m5')} + {_pct('m10')} + {_pct('m20')}) / 3 +
   0.4 * CASE WHEN ma5 > ma10 AND ma10 > ma20 AND ma20 > ma60 THEN 1.0 ELSE 0.0 END AS score FROM t1 WHERE amt >= 20000 AND m20 IS NOT NULL AND ma60 IS NOT NULL)) WHERE rank <= 5"""))
 def x2(spark: S, d: str) -> DataFrame:
     return X.theme_rotation(daily_bars(spark, d), 20000).withColumn("score", F.round("score", 6))
 
 
 @query("x3_worst_performers", stages(BARS, [{"score": f"close / {lag('close', 250)} - 1", "rise": f"close / ({rolled('min', 'low', 20)}) - 1"}, {"rank": "row_number() OVER (PARTITION BY day ORDER BY score NULLS LAST, code)"}],
-       "day, code, round(score, 8) AS score, rise >= 0.25 AS take_profit, rank", "WHERE rank <= 18 AND score IS NOT NULL"))
+       "day, code, round(score, 8) AS score, rise >= 0.25 AS take_profit, CAST(rank AS INTEGER) AS rank", "WHERE rank <= 18 AND score IS NOT NULL"))
 def x3(spark: S, d: str) -> DataFrame:
     return X.worst_performers(daily_bars(spark, d)).withColumn("score", F.round("score", 8))
 
@@ -61,7 +61,7 @@ def x5(spark: S, d: str) -> DataFrame:
 
 @query("x6_regime_switch", f"""WITH m AS (SELECT code, CAST(date_trunc('month', day) AS DATE) AS month, arg_max(close, day) AS close FROM ({BARS}) GROUP BY 1, 2), l AS (SELECT *, lag(close, 1) OVER (PARTITION BY code ORDER BY month) AS p1, lag(close, 12) OVER (PARTITION BY code ORDER BY month) AS p12 FROM m),
 s AS (SELECT *, CASE WHEN month(month) % 3 = 0 THEN 'reversal' ELSE 'momentum' END AS regime FROM l), q AS (SELECT *, CASE WHEN regime = 'reversal' THEN -(close / p1 - 1) ELSE p1 / p12 - 1 END AS score FROM s)
-SELECT month, code, regime, round(score, 8) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY score DESC, code) AS rank FROM q WHERE score IS NOT NULL) WHERE rank <= 5""")
+SELECT month, code, regime, round(score, 8) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY score DESC, code) AS rank FROM q WHERE score IS NOT NULL) WHERE rank <= 5""")
 def x6(spark: S, d: str) -> DataFrame:
     bars = daily_bars(spark, d)
     regimes = bars.select(F.trunc("day", "month").alias("month")).distinct().withColumn("regime", F.when(F.month("month") % 3 == 0, "reversal").otherwise("momentum"))
@@ -119,7 +119,7 @@ def x12(spark: S, d: str) -> DataFrame:
 
 @query("x13_event_selection", f"""WITH b AS (SELECT *, {lag('close')} AS pc, min(day) OVER (PARTITION BY code) AS list_date FROM ({BARS})), e AS (SELECT ann_date AS day, code, id AS seq FROM ({REPORTS}) WHERE id % 4 IN (1, 2)),
 j AS (SELECT e.day, e.code, e.seq, s_nationkey AS industry FROM e JOIN b USING (day, code) JOIN supplier ON e.code = lpad(CAST(s_suppkey AS VARCHAR), 6, '0') WHERE pc IS NOT NULL AND open < pc * 1.098 AND datediff('day', list_date, e.day) >= 365 AND CAST(e.code AS INT) % 9 <> 0),
-i AS (SELECT *, row_number() OVER (PARTITION BY day, industry ORDER BY seq, code) AS n FROM j), k AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY seq, code) AS rank FROM i WHERE n <= 2) SELECT day, code, industry, rank FROM k WHERE rank <= 3""")
+i AS (SELECT *, row_number() OVER (PARTITION BY day, industry ORDER BY seq, code) AS n FROM j), k AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY seq, code) AS rank FROM i WHERE n <= 2) SELECT day, code, industry, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3""")
 def x13(spark: S, d: str) -> DataFrame:
     bars = daily_bars(spark, d)
     events = reports(spark, d).select(F.col("ann_date").alias("day"), "code", (F.col("id") % 4).cast("string").alias("rating"), F.col("id").alias("seq"))
