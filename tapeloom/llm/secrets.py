@@ -3,7 +3,8 @@
 Fixed patterns find candidate credentials and their positions in every whole
 text. Each candidate's value is hashed, and the distinct owners and
 repositories that hold it are counted over the corpus: a value seen under many
-owners is a widely copied example, one that belongs to few owners looks live.
+owners, or in many repositories of one owner, is a widely copied example; one
+that belongs to few of both looks live.
 A broader pattern for random-looking tokens adds spans, but only for values
 that ownership says are live.
 
@@ -67,14 +68,15 @@ def find_candidates(docs: DataFrame, text_col: str = "text", out_col: str = "spa
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id",
-                 max_owners: int = 2, keep: tuple[str, ...] = (), out_col: str = "spans") -> DataFrame:
+                 max_owners: int = 2, keep: tuple[str, ...] = (), out_col: str = "spans", max_repositories: int = 8) -> DataFrame:
     """One row per row of ``docs``: id, the columns in ``keep``, and ``out_col``.
 
     ``out_col``: array<struct<start, rank, end, live>>, by start, then kind: the
     base matches (rank 0 to 2: assign, access, hex), each with whether its
     value looks live, and the added ones (rank 3), which are all live. A value
-    is live if at most ``max_owners`` distinct owners hold it; a null owner
-    counts as one owner of its own. Values travel as hashes, never as text.
+    is live if at most ``max_owners`` distinct owners hold it, in at most
+    ``max_repositories`` distinct repositories over all owners; a null owner or
+    repository counts as one of its own. Values travel as hashes, never as text.
 
     Null text counts as empty. Repeated rows give repeated results. Other
     columns are not carried, so their names cannot clash.
@@ -82,16 +84,19 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rid, owner, repo, spans, body = fresh(docs, "row", "owner", "repository", "spans", "body")
     found = find_candidates(docs.select(
         F.col(id_col), *[F.col(c) for c in keep if c != id_col], F.col(text_col).alias(body),
-        F.coalesce(F.col(owner_col).cast("string"), F.lit("\u0000")).alias(owner), F.col(repository_col).alias(repo)), body, spans).drop(body)
+        F.coalesce(F.col(owner_col).cast("string"), F.lit("\u0000")).alias(owner),
+        F.coalesce(F.col(repository_col).cast("string"), F.lit("\u0000")).alias(repo)), body, spans).drop(body)
     hashed = found.withColumn(spans, F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("value"))))
     rows = materialize(hashed.withColumn(rid, F.monotonically_increasing_id()), "secret-candidates")
 
     each = rows.where(F.size(spans) > 0).select(rid, owner, repo, F.explode(spans).alias("s"))
-    owned = (each.groupBy(F.col("s.value").alias("value"), owner).agg(F.approx_count_distinct(repo).alias("repositories"))
+    # distinct by shuffles, so that a value's repositories are never a list; a repository is one within its owner
+    owned = (each.select(F.col("s.value").alias("value"), owner, repo).distinct()
+             .groupBy("value", owner).agg(F.count("*").alias("repositories"))
              .groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")))
     judged = (each.select(rid, "s.*").join(owned, "value")
-              .withColumn("live", F.col("owners") <= max_owners).where("rank < 3 or live")
+              .withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).where("rank < 3 or live")
               .groupBy(rid).agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "live"))).alias("judged")))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,live:boolean>>")
     out = [F.col(id_col), *[F.col(c) for c in keep if c != id_col]]
@@ -120,13 +125,13 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = 2,
-                   length_col: str | None = "n_chars") -> DataFrame:
+                   length_col: str | None = "n_chars", max_repositories: int = 8) -> DataFrame:
     """``docs`` with live-looking secrets replaced in the text; the same rows and columns.
 
     ``length_col``, if present, is set to the new length where the text changed.
     """
     new, spans = fresh(docs, "clean", "spans")
-    scanned = scan_secrets(docs, id_col, text_col, owner_col, id_col, max_owners, keep=tuple(docs.columns), out_col=spans)
+    scanned = scan_secrets(docs, id_col, text_col, owner_col, id_col, max_owners, keep=tuple(docs.columns), out_col=spans, max_repositories=max_repositories)
     clean = redact(F.col(text_col), F.col(spans))
     scanned = scanned.withColumn(new, clean)
     out = []

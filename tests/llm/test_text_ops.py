@@ -42,6 +42,18 @@ def test_ownership_tells_examples_from_live(spark):
     assert got[3] == [(0, False)] and got[20] == [(0, True), (3, True)] and got[21] == [(0, True)]
 
 
+def test_examples_of_one_owner_are_not_live(spark):
+    copied, own, loose = "token=EXAMPLEexample0123", "token=Zq81LmNopQ77xy", "q7Hx82LmPzR4tY6uW1vB"
+    rows = [(k, f"use {copied} or {loose} here", "hot") for k in range(400)] + [(500 + k % 8, own, "hot") for k in range(40)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text"))
+    got = {r.doc_id: [(s["rank"], s["live"]) for s in r.spans] for r in secrets.scan_secrets(rows).collect()}
+    assert all(got[k] == [(0, False)] for k in range(400)) and got[500] == got[507] == [(0, True)]
+    text = {r.doc_id: r.text for r in secrets.redact_secrets(rows).collect()}
+    assert text[7] == f"use {copied} or {loose} here" and text[503] == "[SECRET]"
+    one = secrets.scan_secrets(rows, max_repositories=400).where("doc_id = 7").first()
+    assert [(s["rank"], s["live"]) for s in one.spans] == [(0, True), (3, True)]
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     rows = docs(spark, ["pass token=Zq81LmNopQ77xy end", "clean", None, "a 0123456789abcdef token=0123456789abcdef01"]).withColumn("clean", F.lit("c"))
     got = secrets.redact_secrets(rows)
