@@ -1,7 +1,7 @@
 """HTML extraction: a tree with implied tags, rendered to all of its visible text.
 
 The tree builder reads tags and text in one pass and opens and closes what HTML
-leaves out (``</p>``, ``</li>``, ``</td>``, a table's body and rows). The renderer
+leaves out (``</p>``, ``</li>``, ``</td>``, ``</head>``, a table's body and rows). The renderer
 leaves out what a reader would not see (scripts, styles, ``hidden``,
 ``display:none``), puts blocks on lines of their own, marks list items, and
 sets table cells in aligned columns.
@@ -34,6 +34,8 @@ IMPLIED_END = {
     "tfoot": ({"tbody", "thead", "tfoot", "caption", "tr"}, {"table"}), "body": ({"head"}, {"html"}),
 }
 _ENDS_P = BLOCK - {"html", "body", "option", "optgroup", "legend"}
+#: What a head may hold; any other start tag, and text, ends it.
+_IN_HEAD = frozenset("base link meta title style script noscript noframes template".split())
 _P_BORDER = frozenset({"td", "th", "table", "button", "object", "caption"})
 #: Tables within tables beyond this depth are rendered as blocks without columns.
 DEEPEST_TABLE = 16
@@ -58,7 +60,10 @@ def build_tree(source: str) -> Node:
 
     def text(piece: str) -> None:
         if piece:
-            stack[-1].children.append(html.unescape(piece) if "&" in piece else piece)
+            piece = html.unescape(piece) if "&" in piece else piece
+            if stack[-1].name == "head" and piece.strip(" \t\n\f\r"):
+                cut(len(stack) - 1)
+            stack[-1].children.append(piece)
 
     opened: Counter[str] = Counter()
 
@@ -104,6 +109,8 @@ def build_tree(source: str) -> Node:
             continue
         attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTR.finditer(m[3])} if m[3].strip(" /") else {}
         hidden = "hidden" in attrs or bool(_HIDDEN_STYLE.search(attrs.get("style", ""))) or (name == "input" and attrs.get("type", "").lower() == "hidden")
+        if stack[-1].name == "head" and name not in _IN_HEAD:
+            cut(len(stack) - 1)
         if name in _ENDS_P:
             close({"p"}, _P_BORDER)
         if name in IMPLIED_END:

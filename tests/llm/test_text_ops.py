@@ -194,6 +194,14 @@ def test_html(source, text):
     assert html_text.visible_text(source) == text
 
 
+@pytest.mark.parametrize(("source", "text"), [
+    ("<html><head><title>T</title><h1>Hi</h1><p>there", "Hi\n\nthere"), ("<head><meta charset=x><link rel=a> \n text <b>b</b>", "text b"), ("<head><title>T</title>&nbsp;&lt;x", "\u00a0<x"),
+    ("<head><script>s</script><style>t</style><template><p>no</p></template><noscript><p>no</p></noscript><img alt=yes>", "yes"), ("<head><base href=x></head>a", "a"), ("<head> <body>a", "a"),
+    ("<head><table><tr><td>a<td>b</table>", "a | b"), ("<head><head><p>a", "a")])
+def test_html_head_may_stay_open(source, text):
+    assert html_text.visible_text(source) == text
+
+
 def test_html_never_fails_and_keeps_rows(spark):
     bad = ["<" * 3000, "<div>" * 3000 + "x", "<table>" * 200 + "x", "<a href='x", "</p></p>", "&#99999999;", "<td>loose"]
     pages = spark.createDataFrame([(k, h) for k, h in enumerate(bad + [None, None])], "page_id long, html string").withColumn("text", F.lit("old"))
