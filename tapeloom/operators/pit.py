@@ -104,12 +104,30 @@ def membership_at(members: DataFrame, points: DataFrame, time: str, on_ambiguous
     """Industry at a time: from <= t and (to is null or to >= t).
 
     Several industries at once give a null industry with ``ambiguous``, or an
-    error if ``on_ambiguous`` is "error"; none gives null.
+    error if ``on_ambiguous`` is "error"; none gives null. Points and the
+    starts and ends of memberships go through one union and one window by code;
+    only an industry's name is joined, by code and number.
     """
-    hit = points.join(members, ["code"], "left").where(F.col("effective_from").isNull() | ((F.col("effective_from") <= F.col(time)) & (F.col("effective_to").isNull() | (F.col("effective_to") >= F.col(time)))))
-    found = hit.where(F.col("effective_from").isNotNull()).groupBy("code", time).agg(F.min("industry").alias("_low"), F.max("industry").alias("_high"))
-    out = points.join(found, ["code", time], "left")
-    several = F.coalesce(F.col("_low") != F.col("_high"), F.lit(False))
+    start, end = F.col("effective_from"), F.col("effective_to")
+    spans = members.where(F.col("code").isNotNull() & F.col("industry").isNotNull() & start.isNotNull() & (end.isNull() | (end >= start)))
+    spans = spans.select("code", "industry", start.alias("_from"), end.alias("_to"))
+    # intervals of one industry that meet become one, so that each open industry counts once
+    w = Window.partitionBy("code", "industry").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    apart = ~F.coalesce(F.max(F.col("_to").isNull()).over(w), F.lit(False)) & F.coalesce(F.col("_from") > F.max("_to").over(w), F.lit(True))
+    merged = (spans.withColumn("_new", apart.cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+              .withColumn("_id", F.dense_rank().over(Window.partitionBy("code").orderBy("industry")).cast("long"))
+              .groupBy("code", "industry", "_id", "_run").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.max(F.col("_to").isNull()).alias("_open")))
+    opened = merged.select("code", F.col("_from").alias("_t"), F.lit(0).alias("_side"), F.lit(1).alias("_n"), "_id")
+    closed = merged.where(~F.col("_open")).select("code", F.col("_to").alias("_t"), F.lit(2).alias("_side"), F.lit(-1).alias("_n"), (-F.col("_id")).alias("_id"))
+    own = points.select("*", F.col(time).alias("_t"), F.lit(1).alias("_side"))
+    # the number of open industries, and the sum of their ids, which is the id where one is open
+    w = Window.partitionBy("code").orderBy(F.col("_t").asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    state = (own.unionByName(opened.unionByName(closed), allowMissingColumns=True)
+             .withColumn("_n", F.coalesce(F.sum("_n").over(w), F.lit(0))).withColumn("_id", F.sum("_id").over(w)).where("_side = 1")
+             .withColumn("_id", F.when(F.col("_n") == 1, F.col("_id"))))
+    names = merged.select("code", "_id", F.col("industry").alias("_low")).distinct()
+    out = state.join(names, ["code", "_id"], "left")
+    several = F.col("_n") > 1
     if on_ambiguous == "error":
         industry = F.when(several, F.raise_error(F.concat(F.lit("several industries: "), F.col("code"))).cast("string")).otherwise(F.col("_low"))
     else:

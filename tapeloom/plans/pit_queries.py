@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators import adjust as A
 from tapeloom.operators import pit as P
-from tapeloom.plans.base import BY_CODE, lag, query, stages
+from tapeloom.plans.base import BY_CODE, ORACLE, lag, query, stages
 from tapeloom.sources.testmap import BARS, FACTORS, REPORTS, code_of, daily_bars, factors, reports, table
 
 S = SparkSession
@@ -65,10 +65,14 @@ MEMBERS = """SELECT lpad(CAST(o_custkey % 100 AS VARCHAR), 6, '0') AS code, 'N'
   CASE WHEN o_orderkey % 50 = 3 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INTEGER) END AS effective_to, o_orderkey AS id FROM orders WHERE o_orderkey % 10 = 3"""
 
 
-def members(spark: S, d: str) -> DataFrame:
+def whole_members(spark: S, d: str) -> DataFrame:
     k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
-    return table(spark, d, "orders").where(k % 10 == 3).select(code_of(F.col("o_custkey") % 100).alias("code"), F.concat(F.lit("N"), k % 25).alias("industry"), day.alias("effective_from"),
-                                                              F.when(k % 50 != 3, F.date_add(day, (k % 40).cast("int"))).alias("effective_to"), k.alias("id"))
+    return table(spark, d, "orders").select(code_of(F.col("o_custkey") % 100).alias("code"), F.concat(F.lit("N"), k % 25).alias("industry"), day.alias("effective_from"),
+                                           F.when(k % 50 != 3, F.date_add(day, (k % 40).cast("int"))).alias("effective_to"), k.alias("id"))
+
+
+def members(spark: S, d: str) -> DataFrame:
+    return whole_members(spark, d).where(F.col("id") % 10 == 3)
 
 
 @query("a6_membership_quality", f"""WITH m AS ({MEMBERS}), o AS (SELECT *, max(coalesce(effective_to, DATE '9999-12-31')) OVER (PARTITION BY code ORDER BY effective_from, coalesce(effective_to, DATE '9999-12-31'), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM m)
@@ -104,6 +108,26 @@ def j8(spark: S, d: str) -> DataFrame:
     return P.overlaps(members(spark, d), ["code"]).groupBy("code").agg(F.count_if(F.col("meets") == "overlap").alias("overlaps"), F.count_if(F.col("meets") == "touch").alias("touches"))
 
 
+# the same three over all orders: every membership and every point
+WHOLE_MEMBERS = MEMBERS.replace(" WHERE o_orderkey % 10 = 3", "")
+
+
+@query("a6_membership_quality_whole", ORACLE["a6_membership_quality"].replace(MEMBERS, WHOLE_MEMBERS))
+def a6_whole(spark: S, d: str) -> DataFrame:
+    kinds = table(spark, d, "nation").where("n_nationkey < 20").select(F.concat(F.lit("N"), "n_nationkey").alias("industry"))
+    return P.membership_quality(whole_members(spark, d), kinds)
+
+
+@query("j7_point_in_interval_whole", ORACLE["j7_point_in_interval"].replace(MEMBERS, WHOLE_MEMBERS).replace(" WHERE id % 7 = 0", ""))
+def j7_whole(spark: S, d: str) -> DataFrame:
+    return P.membership_at(whole_members(spark, d), reports(spark, d).select("code", F.col("ann_date").alias("day")).distinct(), "day")
+
+
+@query("j8_interval_overlaps_whole", ORACLE["j8_interval_overlaps"].replace(MEMBERS, WHOLE_MEMBERS))
+def j8_whole(spark: S, d: str) -> DataFrame:
+    return P.overlaps(whole_members(spark, d), ["code"]).groupBy("code").agg(F.count_if(F.col("meets") == "overlap").alias("overlaps"), F.count_if(F.col("meets") == "touch").alias("touches"))
+
+
 @query("j9_j10_semi_anti", f"""SELECT lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS code, EXISTS (SELECT 1 FROM ({BARS}) b WHERE b.code = lpad(CAST(c_custkey AS VARCHAR), 6, '0') AND day <= DATE '1996-06-30') AS has_bars FROM customer""")
 def j9(spark: S, d: str) -> DataFrame:
     codes = table(spark, d, "customer").select(code_of(F.col("c_custkey")).alias("code"))
