@@ -128,9 +128,9 @@ UNION ALL {matches(2, secrets.HEX, "hit", "true")}),
 more AS ({matches(3, secrets.OWNED, "hit", "regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]')")}),
 spans AS (SELECT * FROM base UNION ALL SELECT * FROM more m WHERE NOT EXISTS (
   SELECT 1 FROM base b WHERE b.rid = m.rid AND b.start < m.stop AND m.start < b.stop)),
-owned AS (SELECT value, count(DISTINCT owner) AS owners FROM spans GROUP BY value),
-judged AS (SELECT s.*, o.owners <= 2 AS live, ['assign', 'access', 'hex', 'owned'][rank + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS shown
-  FROM spans s JOIN owned o USING (value) WHERE rank < 3 OR o.owners <= 2),
+owned AS (SELECT value, count(DISTINCT owner) <= 2 AND count(DISTINCT (owner, doc_id)) <= 8 AS few FROM spans GROUP BY value),
+judged AS (SELECT s.*, o.few AS live, ['assign', 'access', 'hex', 'owned'][rank + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS shown
+  FROM spans s JOIN owned o USING (value) WHERE rank < 3 OR o.few),
 found AS (SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
   string_agg(shown, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(shown, ',' ORDER BY start, rank) AS spans, count(*) FILTER (live) AS n_live
   FROM judged GROUP BY rid)

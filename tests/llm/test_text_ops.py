@@ -1,4 +1,5 @@
 import re
+import time
 import zlib
 
 import numpy as np
@@ -62,6 +63,36 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert by[1].text == "pass [SECRET] end" and by[1].n_chars == len(by[1].text) and by[2].text == "clean" and by[3].text is None and by[4].text == "a [SECRET] [SECRET]"
 
 
+def token_text(n, seed=1):
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(list("0123456789abcdef"), 40)) if k % 3 else "".join(rng.choice(list("ABCDEFGHabcdefgh0123456789"), 30)) for k in range(n)]
+    return " ".join(w if k % 7 else f"secret={w}" for k, w in enumerate(words))
+
+
+def test_a_text_full_of_tokens_is_linear_work(spark):
+    """Eight times the tokens (1 MB) take far less than 64 times as long, and all spans are those of brute force."""
+    took, small, large = {}, token_text(3_000), token_text(24_000)
+    secrets.redact_secrets(docs(spark, [small])).collect()
+    for name, text in (("small", small), ("large", large)):
+        began = time.time()
+        clean = secrets.redact_secrets(docs(spark, [text])).first().text
+        took[name] = time.time() - began
+        (row,) = secrets.scan_secrets(docs(spark, [text])).collect()
+        assert [(s["start"], s["rank"], s["end"]) for s in row.spans if s["rank"] < 3] == base_spans(text)
+        base, at, out = base_spans(text), 0, []
+        more = [(m.start(), 3, m.end()) for m in re.finditer(r"[A-Za-z0-9_-]{20,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        starts = np.array([b[0] for b in base])
+        ends = np.maximum.accumulate([b[2] for b in base])
+        apart = [m for m in more if not ((k := np.searchsorted(starts, m[2])) and ends[k - 1] > m[0])]
+        assert [(s["start"], s["rank"], s["end"]) for s in row.spans] == sorted(base + apart)
+        for start, _, end in sorted(base + apart):
+            if start >= at:
+                out += [text[at:start], "[SECRET]"]
+            at = max(at, end)
+        assert clean == "".join(out) + text[at:]
+    assert took["large"] < 20 and took["large"] < 24 * took["small"]
+
+
 def test_secret_scan_stays_in_spark(spark):
     plan = registry.op3_secret_scan(spark, DIR)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian", plan)
