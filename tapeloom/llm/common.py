@@ -9,8 +9,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries a per-worker word cache may hold before it starts afresh.
+#: Entries a per-worker word cache may hold before it starts afresh, and the longest word that it keeps.
 CACHE_ENTRIES = 300_000
+CACHED_CHARS = 64
 U64 = (1 << 64) - 1
 
 
@@ -38,7 +39,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``materialize``d frame that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
+    """Inner join on ``key``, unique in ``right``, which tells in ``rows`` how many rows of ``left`` hold it.
+
+    Keys of over a thousandth of those rows, of which there are fewer than a
+    thousand, are broadcast; the rest is an ordinary join without hot keys.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot = F.col(rows) * 1000 > total
+    few, many = right.where(hot).drop(rows), right.where(~hot).drop(rows)
+    return (left.join(F.broadcast(few), key)
+            .unionByName(left.join(F.broadcast(few.select(key)), key, "left_anti").join(many, key)))
 
 
 def crc_fold(id_col: str, n: int) -> Column:
@@ -58,9 +81,11 @@ class WordHashes(dict):
         self.seed = seed
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed)
+        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed)
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[word] = value
         return value
 
 

@@ -11,8 +11,8 @@ from tapeloom.functions.session import ship_package
 from tapeloom.llm import chat, decontamination, html_text, langid, neighbours, packing, secrets, simhash, toxicity, urls
 from tapeloom.llm.common import crc_fold, in_fold
 
-#: Rows handed to a Python worker at once; bounds its memory for long texts.
-ARROW_ROWS = "1000"
+#: Bytes handed to a Python worker at once (or one longer row); bounds its memory for long texts.
+ARROW_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,8 +20,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
+    """Send the package to the executors; lower the session's bytes a batch to ``ARROW_BYTES`` where they are more."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not now.isdecimal() and not now.endswith("b") or not 0 < int(now.rstrip("b")) <= ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def byte_bpe_path() -> str:

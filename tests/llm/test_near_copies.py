@@ -2,8 +2,9 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
-from tapeloom.llm import near_copies
+from tapeloom.llm import near_copies, simhash
 from tests.llm.helpers import DIR, docs
 
 
@@ -70,3 +71,34 @@ def test_null_ids_and_repeated_ids(spark):
     got = stage(spark, rows.unionByName(rows))
     assert sorted(r.doc_id or 0 for r in got.collect()) == [0, 0, 1]
     assert stage(spark, rows.limit(0)).count() == 0
+
+
+def same(spark, pairs):
+    return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in pairs], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@pytest.mark.parametrize("one", [near_copies.one_per_copy_group, simhash.one_per_group])
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark, one):
+    a, b = "a b c d e f g", "quite another text of some words"
+    assert sorted((r.doc_id, r.text) for r in one(same(spark, [(3, a), (5, a), (5, b)])).collect()) == [(3, a), (5, b)]
+    assert sorted((r.doc_id, r.text) for r in one(same(spark, [(5, a), (5, b)])).collect()) == [(5, a), (5, b)]
+    assert [(r.doc_id, r.text) for r in one(same(spark, [(5, a), (5, a)])).collect()] == [(5, a)]
+    extra = same(spark, [(1, a), (2, a)]).withColumns({"row": F.lit(1), "fp": F.lit(2), "sketch": F.lit(3), "node": F.lit(4)})
+    assert one(extra).columns == extra.columns and one(extra).count() == 1
+
+
+def test_small_trie_nodes_and_one_large_group(spark):
+    """Nodes of 8 fingerprints at most give the same groups; so does one of 3,000 texts that share nearly all their bits."""
+    rnd = random.Random(3)
+    base = [[f"w{rnd.randrange(9000)}" for _ in range(120)] for _ in range(150)]
+    texts = [" ".join(w) for w in base] + [" ".join([*w[:60], "x", *w[61:]]) for w in base[:50]]
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs(spark, texts), node_limit=32).collect()}
+    assert [got[k + 1] for k in range(200)] == [*range(1, 151), *range(1, 51)]
+    words = [f"v{k}" for k in range(900)]
+    texts = [" ".join([*words[:450], f"n{k}", *words[450:]]) for k in range(3_000)] + ["other words altogether are in this one"]
+    kept = near_copies.one_per_copy_group(docs(spark, texts))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3001]
+
+
+def test_chance_of_meeting():
+    assert near_copies.chance_of_meeting(0.8, 250_000) > 0.9999 and near_copies.chance_of_meeting(0.9, 10 ** 10) > 0.9

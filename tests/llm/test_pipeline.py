@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tapeloom.llm import decontamination, registry, toxicity
 from tapeloom.llm.common import crc_fold, materialize
 from tests.llm.helpers import DIR
-from tests.llm.test_similarity import slow_components, slow_print
+from tests.llm.test_near_copies import slow_groups
 
 
 def test_stages_against_brute_force(spark):
@@ -24,7 +24,7 @@ def test_stages_against_brute_force(spark):
 
     rows = clean.toPandas()
     one = materialize(steps["simhash"](spark, clean, DIR), "s")
-    assert sorted(one.toPandas().doc_id) == sorted(set(slow_components([slow_print(t) for t in rows.text], rows.doc_id))) and one.columns == docs.columns
+    assert sorted(one.toPandas().doc_id) == sorted(set(slow_groups(rows.text, rows.doc_id))) and one.columns == docs.columns
 
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
     free = materialize(steps["decontamination"](spark, one, DIR), "d")
