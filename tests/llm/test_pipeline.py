@@ -4,10 +4,11 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from tapeloom.llm import decontamination, registry, toxicity
+from tapeloom.llm import registry, toxicity
 from tapeloom.llm.common import crc_fold, materialize
 from tests.llm.helpers import DIR
 from tests.llm.test_near_copies import slow_groups
+from tests.llm.test_text_ops import brute_found
 
 
 def test_stages_against_brute_force(spark):
@@ -32,8 +33,9 @@ def test_stages_against_brute_force(spark):
     whole = {r.doc_id for r in one.collect() if any(f" {words(t)} " in f" {words(r.text)} " for _, t in bench if len(words(t).split()) >= 5)}
     gone = set(one.toPandas().doc_id) - set(free.toPandas().doc_id)
     assert whole <= gone
-    block = decontamination.Benchmark(bench, 5)
-    assert gone == {r.doc_id for r in one.collect() if block.matches(r.text, 0.5)}
+    texts = {r.doc_id: r.text for r in one.collect()}
+    by = list(texts)
+    assert gone == {by[k - 1] for k, *_ in brute_found(list(texts.values()), bench)}
 
     safe = materialize(steps["secrets"](spark, free, DIR), "r")
     assert safe.columns == docs.columns and safe.count() == free.count()

@@ -163,37 +163,75 @@ def brute_tiles(p, t, least):
             fp[i + x] = ft[j + x] = False
 
 
-def test_tiling_covers_as_much_as_brute_force():
+def test_tiles_are_those_of_brute_force():
     rng = np.random.default_rng(4)
-    for _ in range(60):
-        p, t = (rng.integers(0, 4, n).astype(np.uint64) for n in (rng.integers(3, 30), rng.integers(3, 60)))
-        got, want = decontamination.greedy_tiles(p, t, 3), brute_tiles(p.tolist(), t.tolist(), 3)
-        assert max([k for *_, k in got], default=0) == max([k for *_, k in want], default=0)
-        for i, j, k in got:
-            assert (p[i:i + k] == t[j:j + k]).all() and k >= 3
-        marked = [i + x for i, _, k in got for x in range(k)]
-        assert len(marked) == len(set(marked))
-        assert not brute_left(p, t, got)
-
-
-def brute_left(p, t, tiles):
-    fp, ft = np.ones(len(p), bool), np.ones(len(t), bool)
-    for i, j, k in tiles:
-        fp[i:i + k] = ft[j:j + k] = False
-    return any(fp[i:i + 3].all() and ft[j:j + 3].all() and (p[i:i + 3] == t[j:j + 3]).all() for i in range(len(p) - 2) for j in range(len(t) - 2))
+    for n in range(3_000):
+        p, t = (rng.integers(0, 2 + n % 4, k).astype(np.uint64) for k in (rng.integers(1, 16), rng.integers(1, 24)))
+        least = 1 + n % 4
+        assert decontamination.greedy_tiles(p, t, least) == brute_tiles(p.tolist(), t.tolist(), least)
+
+
+def test_tiling_of_one_repeated_word_is_bounded():
+    p, t = np.full(800, 7, np.uint64), np.full(30_000, 7, np.uint64)
+    assert decontamination.greedy_tiles(p, t, 5) == [(0, 0, 800)]
+
+
+def brute_found(texts, items, least=5, threshold=0.5):
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    out = set()
+    for i, item in items:
+        p = words(item)
+        for k, text in enumerate(texts, 1):
+            t = words(text)
+            size = min(least, len(p))
+            if p and {tuple(p[x:x + size]) for x in range(len(p) - size + 1)} & {tuple(t[x:x + size]) for x in range(len(t) - size + 1)}:
+                tiles = brute_tiles(p, t, size)
+                if tiles and sum(x for *_, x in tiles) / len(p) >= threshold:
+                    out.add((k, i, sum(x for *_, x in tiles) / len(p), len(tiles)))
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    common = "a phrase that is in every item and text of this test".split()
+    items, texts = [], []
+    for k in range(25):
+        own = [f"i{k}w{x}" for x in range(rng.integers(3, 40))]
+        at = rng.integers(0, len(own) + 1)
+        items.append((f"item-{k}", " ".join(own[:at] + (common if k % 3 else []) + own[at:])))
+    for k in range(80):
+        text = common + [f"t{x}" for x in rng.integers(0, 50, 20)]
+        for _ in range(rng.integers(0, 4)):
+            w = items[rng.integers(0, 25)][1].split()
+            lo = rng.integers(0, len(w))
+            text += w[lo:lo + rng.integers(3, 40)] + [f"t{x}" for x in rng.integers(0, 50, 3)]
+        texts.append(" ".join(text))
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {(r.doc_id, r.item_id, r.coverage, r.tiles) for r in decontamination.contaminated_pairs(docs(spark, texts), bench).collect()}
+    want = brute_found(texts, items)
+    assert got == want and 20 < len(want)
+
+
+def test_scripts_without_spaces_short_items_and_another_benchmark(spark):
+    item = "这是一个测试题目请回答问题的答案是什么"
+    rows = docs(spark, ["前面的文字" + item + "后面的文字", "完全不同的句子没有重复", "what is two plus two", "nothing here"])
+    first = spark.createDataFrame([(1, item), (2, "two plus two"), (3, "x y z")], "item_id long, text string")
+    other = spark.createDataFrame([(1, item), (2, "nothing here"), (3, "x y z")], "item_id long, text string")
+    found = lambda b: sorted((r.doc_id, r.item_id, r.coverage) for r in decontamination.contaminated_pairs(rows, b).collect())
+    assert found(first) == [(1, 1, 1.0), (3, 2, 1.0)] and found(other) == [(1, 1, 1.0), (4, 2, 1.0)]
 
 
 def test_decontamination_finds_moved_passages_only(spark):
     w = [f"word{k}" for k in range(60)]
-    bench = spark.createDataFrame([(7, " ".join(w[:40])), (8, "one two"), (9, None), (7, " ".join(w[:40]))], "item_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(w[:40])), (8, "one two"), (9, None), (7, " ".join(w[:40])), (None, " ".join(w[:30])), (10, " ")], "item_id long, text string")
     filler = "lorem ipsum dolor sit amet " * 30
-    rows = docs(spark, [filler + " ".join(w[20:40]) + " x " + " ".join(w[:20]).upper() + " " + filler, filler + " ".join(w[:8]), None, "", "one two", " ".join(w[:40]), filler * 400 + ", ".join(w[:40])]).withColumn("contamination", F.lit("mine"))
+    rows = docs(spark, [filler + " ".join(w[20:40]) + " x " + " ".join(w[:20]).upper() + " " + filler, filler + " ".join(w[:8]), None, "", "one two", " ".join(w[:40]), filler * 400 + ", ".join(w[:40])]).withColumn("contamination", F.lit("mine")).withColumn("row", F.lit(1))
     got = {r.doc_id: (r.item_id, r.coverage, r.tiles) for r in decontamination.contaminated_pairs(rows, bench).collect()}
-    assert got == {1: (7, 1.0, 2), 6: (7, 1.0, 1), 7: (7, 1.0, 1)}
+    assert got == {1: (7, 1.0, 2), 5: (8, 1.0, 1), 6: (7, 1.0, 1), 7: (7, 1.0, 1)}
     kept = decontamination.drop_contaminated(rows, bench)
-    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 5] and kept.columns == rows.columns
-    small = decontamination.contaminated_pairs(rows, bench, block_chars=10)  # several blocks give the same pairs
-    assert {r.doc_id for r in small.collect()} == {1, 6, 7}
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4] and kept.columns == rows.columns
+    marked = decontamination.mark_contamination(rows.unionByName(rows), bench)
+    assert marked.count() == 14 and marked.where("size(contamination) = 1").count() == 8 and set(marked.columns) == set(rows.columns)
     assert decontamination.contaminated_pairs(rows, bench.limit(0)).count() == 0 and decontamination.contaminated_pairs(rows.limit(0), bench).count() == 0
 
 
