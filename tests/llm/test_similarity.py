@@ -96,6 +96,40 @@ def test_neighbours_with_equal_vectors_and_unusable_ones(spark):
     assert [r.vec_id for r in few.orderBy("rank").collect()] == [1, 2] and neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def clustered(n, seed=6, d=32):
+    """Vectors of one length around centres, about 60 each."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(max(1, n // 60), d))
+    x = centres[rng.integers(0, len(centres), n)] + 0.15 * rng.normal(size=(n, d))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_structured_vectors_need_few_rows(spark):
+    """On structured vectors the search visits a small part, and a smaller one the more rows there are, at the wanted recall."""
+    shares = {}
+    for n in (2_000, 16_000):
+        x = clustered(n).astype(float)
+        forest = neighbours.grow_forest(x, 4, int(np.log2(n / 32)))
+        shares[n] = neighbours.share_needed(forest, x, 20, 0.96)
+    assert shares[16_000] < 0.5 * shares[2_000] and shares[16_000] < 0.25
+    x = clustered(6_000)
+    frame = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(frame, F.col("vec_id") % 20 == 0, leaf_rows=32).toPandas().sort_values(["query_id", "rank"]).groupby("query_id").vec_id.apply(list)
+    want = brute(np.arange(6_000), x.astype(float))
+    assert set(got.index) == set(want) and np.mean([len(set(want[q]) & set(got[q])) / 20 for q in want]) >= 0.9
+
+
+def test_ties_repeated_ids_and_a_leaf_in_parts(spark):
+    rows = [(k, [float(k % 7 == j) for j in range(7)] + [0.0]) for k in range(300)] + [(300 + k, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, k / 64]) for k in range(200)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
+    got = neighbours.nearest(frame, F.col("vec_id") % 20 == 0, block_rows=40, search_share=9.0).toPandas().sort_values(["query_id", "rank"]).groupby("query_id").vec_id.apply(list)
+    assert {q: got[q] for q in want} == want
+    twice = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (3, [0.6, 0.8]), (4, [0.9, 0.1])], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, round(r.score, 6)) for r in neighbours.nearest(twice, F.col("vec_id") % 20 == 0).collect())
+    assert got == [(1, 3, 0.8), (1, 4, 0.9), (2, 3, 0.6), (2, 4, 0.1), (3, 20, 0.0), (3, 20, 0.0)]
+
+
 def test_url_rules(spark):
     cases = [("https://a.example.net/en/5?x", "a.example.net", "/en/5", "example.net/en/", "allow"), ("http://A.NET/x#y", "a.net", "/x", "net/", "block"), ("http://x.example.com/de/1", "x.example.com", "/de/1", "example.com/de/", "block"),
              ("http://x.org/fr/2", "x.org", "/fr/2", "org/fr/", "allow"), (None, "", "", None, "allow"), ("no scheme", "", "", None, "allow"), ("http://planet/a", "planet", "/a", None, "allow"), ("x://h?a://b/c", "h", "", None, "allow"), ("", "", "", None, "allow")]
