@@ -22,14 +22,13 @@ def code_of(key: Column) -> Column:
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(code, day, open, high, low, close, volume, amount), one row per security and day.
 
-    Dealt by code once; the aggregation and every later per-security window
-    reuse that partitioning.
+    Trades are aggregated before the shuffle, so a busy code's trades are not one
+    task's; only its bars are dealt by code, by the windows over them.
     """
     order = F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
     trades = (table(spark, sf_dir, "lineitem")
               .select(code_of(F.col("l_suppkey")).alias("code"), F.col("l_shipdate").cast("date").alias("day"),
-                      (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_quantity", "l_extendedprice", order.alias("o"))
-              .repartition("code"))
+                      (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_quantity", "l_extendedprice", order.alias("o")))
     return trades.groupBy("code", "day").agg(
         F.min_by("price", "o").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "o").alias("close"),
         F.sum("l_quantity").alias("volume"), F.round(F.sum("l_extendedprice"), 2).alias("amount"))

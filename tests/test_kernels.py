@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +74,31 @@ def test_routing_and_missing_frequency(spark):
     assert rows(bars.route_by_source([a, b]), "code", "close") == [("x", 1.0), ("y", 3.0)]
     with pytest.raises(LookupError):
         bars.require_frequency(a.withColumn("freq", F.lit("1min")), "5min")
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+@pytest.mark.parametrize("exact", [True, False])
+def test_asof_in_buckets_nulls_and_clashing_names(spark, direction, exact):
+    rnd = random.Random(7)
+    code = lambda: rnd.choice(["a", "b", None])
+    time = lambda: rnd.choice([None, *range(60)])
+    left = [(code(), time(), k) for k in range(200)]
+    right = [(code(), time(), rnd.randrange(9)) for _ in range(40)]
+    ldf = spark.createDataFrame(left, "code string, t int, _side int").withColumn("_t", F.lit("mine"))
+    rdf = spark.createDataFrame(right, "code string, u int, v int").withColumn("_r", F.lit(1))
+
+    def want(c, t):
+        found = [(u if direction == "backward" else -u, v) for k, u, v in right if None not in (c, t, k, u) and k == c
+                 and (u < t if direction == "backward" else u > t) | (exact and u == t)]
+        return max(found)[1] if found else None
+
+    for bucket in (None, lambda t: F.floor(t / 7)):
+        got = {r["_side"]: r.v for r in kernels.asof(ldf, rdf, ["code"], "t", "u", ["v"], direction, exact, bucket=bucket).collect()}
+        assert got == {k: want(c, t) for c, t, k in left}
+
+
+def test_range_agg_leaves_null_keys_and_times_apart(spark):
+    left = spark.createDataFrame([("a", 5, 1), ("a", None, 2), (None, 5, 3)], "code string, t int, _v int")
+    right = spark.createDataFrame([("a", 4, 1.0), ("a", None, 99.0), (None, 5, 7.0)], "code string, u int, x double")
+    got = {r["_v"]: (r.m, r.n) for r in kernels.range_agg(left, right, ["code"], "t", "u", 2, 0, m=("x", F.max), n=("x", F.count)).collect()}
+    assert got == {1: (1.0, 1), 2: (None, 0), 3: (None, 0)}
