@@ -110,7 +110,7 @@ def change_points(rows: DataFrame, value: str = "ratio", tolerance: float = 5e-4
         v, seg = frame[value].to_numpy(float), np.zeros(len(frame), np.int64)
         ref, k = np.nan, 0
         for i, x in enumerate(v):
-            if not abs(x / ref - 1) <= tolerance:
+            if not abs(x - ref) <= tolerance * abs(ref):  # also right at zero; a missing value starts a segment
                 ref, k = x, k + 1
             seg[i] = k
         frame["segment"] = seg

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.operators.kernels import asof
+from tapeloom.operators.kernels import asof, spare
+from tapeloom.operators.validate import STEP_MS
 
 PRICES = ("open", "high", "low", "close")
 
@@ -128,11 +129,20 @@ def golden_rows(stored: DataFrame, pinned: DataFrame, keys: Sequence[str], value
     return j.withColumn("state", F.when(F.col("_v").isNull(), "missing").when(F.abs(F.col("_v") - F.col(value)) > tolerance, "differs").otherwise("ok")).drop("_v")
 
 
-def share_sources(a: DataFrame, b: DataFrame, value: str = "shares") -> DataFrame:
-    """Percent difference of two sources' share counts: mean, median, median absolute, 95th percentile."""
-    gap = (F.col("_a") - F.col("_b")) / F.col("_b") * 100
-    j = a.select("code", F.col(value).alias("_a")).join(b.select("code", F.col(value).alias("_b")), "code").where("_b <> 0").withColumn("g", gap)
-    return j.agg(F.count("*").alias("n"), F.avg("g").alias("mean"), F.percentile("g", 0.5).alias("median"), F.percentile(F.abs("g"), 0.5).alias("median_abs"), F.percentile(F.abs("g"), 0.95).alias("p95"))
+def share_sources(a: DataFrame, b: DataFrame, value: str = "shares", accuracy: int | None = 100_000) -> DataFrame:
+    """Percent difference of two sources' share counts: mean, median, median absolute, 95th percentile.
+
+    Quantiles are sketches that merge, a rank off by at most 1 / ``accuracy`` of the
+    rows; None asks for exact ones, which one task counts by distinct value.
+    """
+    x, y = spare(["code"], "_a", "_b")
+    gap = (F.col(x) - F.col(y)) / F.col(y) * 100
+    j = a.select("code", F.col(value).alias(x)).join(b.select("code", F.col(value).alias(y)), "code").where(F.col(y) != 0).withColumn("g", gap)
+
+    def quantile(c: Column, q: float) -> Column:
+        return F.percentile(c, q) if accuracy is None else F.percentile_approx(c, q, accuracy)
+
+    return j.agg(F.count("*").alias("n"), F.avg("g").alias("mean"), quantile(F.col("g"), 0.5).alias("median"), quantile(F.abs("g"), 0.5).alias("median_abs"), quantile(F.abs("g"), 0.95).alias("p95"))
 
 
 def queue_health(queue: DataFrame, targets: DataFrame, now, overdue_days: int = 3) -> DataFrame:
@@ -157,24 +167,35 @@ def ledger_conservation(ledger: DataFrame, quarantine_counts: DataFrame) -> Data
     return j.select("batch_id", lost.alias("not_conserved"), (F.col("rows_written") > F.col("rows_passed")).alias("overwritten"), (F.col("rows_rejected") != F.coalesce("quarantined", F.lit(0))).alias("untraced"))
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free fingerprint: rows, xor and sum of row hashes."""
-    row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+def fingerprint(df: DataFrame, row: Column | None = None) -> DataFrame:
+    """Order-free fingerprint: rows, xor and sum of row hashes (A16); ``row`` is the hash, of all columns by default."""
+    row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]) if row is None else row
     return df.agg(F.count("*").alias("n"), F.bit_xor(row).alias("xor_hash"), F.sum(row.cast("decimal(38,0)")).alias("sum_hash"))
 
 
-def canonical_digest(df: DataFrame, key: Sequence[str], shards: int = 64) -> DataFrame:
-    """sha256 per shard over rows' sorted sha256 of canonical JSON (A16): rows are dealt by key hash, so shards stay small as they are added."""
-    line = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
-    return df.select(F.pmod(F.xxhash64(*key), F.lit(shards)).alias("shard"), line.alias("h")).groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.conv(F.substring("h", 1, 15), 16, 10).cast("decimal(38,0)")).alias("digest"))
+def canonical_line(df: DataFrame) -> Column:
+    """A row as text: its columns in order of name, parted by \\x1f, null as \\x1e."""
+    return F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in sorted(df.columns)])
+
+
+def canonical_digest(df: DataFrame, prefix: int = 4) -> DataFrame:
+    """(shard, n, digest): sha256 over the sorted sha256 of a shard's rows, whatever their order.
+
+    A shard is the first ``prefix`` hex digits of the row's hash, so 16 ** prefix
+    shards share the rows evenly; choose it so that a shard's hashes fit a task.
+    """
+    h = df.select(F.sha2(canonical_line(df), 256).alias("h"))
+    return (h.groupBy(F.substring("h", 1, prefix).alias("shard")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("h")).alias("all"))
+            .select("shard", "n", F.sha2(F.array_join("all", ""), 256).alias("digest")))
 
 
 def stratified_sample(df: DataFrame, per_code: int = 20, total: int = 5000, seed: int = 7) -> DataFrame:
-    """At most ``per_code`` rows of each code, the latest among them, and at most ``total`` (K4)."""
+    """At most ``per_code`` rows of each code, the latest among them, and at most ``total``, all by a hash of code and day (K4)."""
+    latest, hashed, n = spare(df.columns, "_l", "_h", "_n")
     w = Window.partitionBy("code")
-    ranked = df.withColumn("_l", F.row_number().over(w.orderBy(F.col("day").desc()))).withColumn("_h", F.xxhash64("code", F.col("day").cast("string"), F.lit(seed)))
-    picked = ranked.withColumn("_n", F.row_number().over(w.orderBy((F.col("_l") != 1).cast("int"), "_h"))).where(F.col("_n") <= per_code)
-    return picked.orderBy("_n", "_h").limit(total).drop("_l", "_h", "_n")
+    ranked = df.withColumn(latest, F.row_number().over(w.orderBy(F.col("day").desc()))).withColumn(hashed, F.md5(F.concat_ws("|", "code", F.col("day").cast("string"), F.lit(str(seed)))))
+    picked = ranked.withColumn(n, F.row_number().over(w.orderBy((F.col(latest) != 1).cast("int"), hashed))).where(F.col(n) <= per_code)
+    return picked.orderBy(n, hashed, "code", "day").limit(total).drop(latest, hashed, n)
 
 
 def golden_days(segments: DataFrame, bars: DataFrame) -> DataFrame:
@@ -184,3 +205,27 @@ def golden_days(segments: DataFrame, bars: DataFrame) -> DataFrame:
     placed = rows.withColumn("_n", F.row_number().over(w.orderBy("day"))).withColumn("_c", F.count("*").over(w))
     middle = F.round((F.col("_c") - 1) * 0.5).cast("int") + 1
     return placed.where((F.col("_n") == 1) | (F.col("_n") == F.col("_c")) | (F.col("_n") == middle)).select("code", "segment", "day")
+
+
+def source_checks(authority: str | None = None, allow_fallback: bool = True, source: str = "data_source") -> dict[str, tuple[Column, str]]:
+    """Rows without a source, and rows of another source than the table's authority; errors where no fallback is allowed."""
+    severity = "error" if authority is not None and not allow_fallback else "warning"
+    out = {"SourceTraceability": (F.col(source).isNull(), severity)}
+    return out | ({"AuthoritySourceViolation": (F.col(source) != authority, severity)} if authority is not None else {})
+
+
+def frequency_checks(df: DataFrame, freq: str = "freq", time: str = "time") -> dict[str, tuple[Column, str]]:
+    """Unknown bar lengths and times off their grid; one row for a table without the columns."""
+    if not {freq, time} <= set(df.columns):
+        return {"FrequencyColumns": (F.lit(True), "error")}
+    step = F.create_map(*[F.lit(x) for kv in STEP_MS.items() for x in kv])
+    known = F.coalesce(F.col(freq).isin(list(STEP_MS)), F.lit(False))
+    return {"FrequencyValue": (~known, "error"), "FrequencyGrid": (known & (F.col(time) % F.try_element_at(step, F.col(freq)) != 0), "error")}
+
+
+def all_null_fields(df: DataFrame, table: str, fields: Sequence[str], origin: str, source: str = "data_source") -> DataFrame:
+    """(check, table, field, count) of fields that are null in every row of a source that has rows."""
+    own = df.where(F.col(source) == origin).agg(F.count("*").alias("rows"), *[F.count(c).alias(f"c{k}") for k, c in enumerate(fields)])
+    rows = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"c{k}").alias("known")) for k, c in enumerate(fields)])
+    return (own.select("rows", F.explode(rows).alias("f")).where("rows > 0 and f.known = 0")
+            .select(F.lit("GrowthFieldAllNull").alias("check"), F.lit(table).alias("table"), "f.field", F.col("rows").alias("count")))

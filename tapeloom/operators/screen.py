@@ -90,18 +90,22 @@ def four_factor_weights(bars: DataFrame, lookback: int = 60, k: int = 5, floor:
     s = Series(bars)
     s.let(r=F.col("close") / s.ref("close") - 1)
     s.let(mean=s.ma("r", lookback), sd=s.std("r", lookback), wins=s.ma((F.col("r") > 0).cast("double"), lookback), peak=s.hhv("close", lookback))
-    s.let(past=F.collect_list("r").over(s.w.rowsBetween(-(lookback - 1), 0)), mdd=s.llv((F.col("close") / F.col("peak") - 1), lookback))
-    df = s.df.where(F.col("sd").isNotNull() & (F.col("sd") > 0) & F.col("mdd").isNotNull() & (F.size("past") == lookback))
+    s.let(full=F.count("r").over(s.w.rowsBetween(-(lookback - 1), 0)), mdd=s.llv((F.col("close") / F.col("peak") - 1), lookback))
+    df = s.df.where((F.col("sd") > 0) & F.col("mdd").isNotNull() & (F.col("full") == lookback))
     last = df.withColumn("month", F.trunc("day", "month")).withColumn("_l", F.max("day").over(Window.partitionBy("code", F.col("month")))).where("day = _l")
     by = ["month"]
     score = sum((percent_rank_average(c, by) for c in (F.col("mean") / F.col("sd"), F.col("wins"), F.col("mdd"))), percent_rank_average(F.col("mean"), by))
-    top = ranked(last.withColumn("score", score), k, F.desc(F.round("score", 9)), F.col("code"), by=by).select("month", "code", "score", "past")
+    top = ranked(last.withColumn("score", score), k, F.desc(F.round("score", 9)), F.col("code"), by=by).select("month", "code", "score", F.col("_i").alias("until"))
+    # only the chosen securities' returns are gathered: every one meets the months whose look-back holds it
+    moves = s.df.where(F.col("r").isNotNull()).select("code", F.col("_i").alias("at"), "r")
+    past = (top.select("month", "code", "score", F.explode(F.sequence(F.col("until") - lookback + 1, F.col("until"))).alias("at")).join(moves, ["code", "at"])
+            .groupBy("month", "code", "score").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "r"))), lambda x: x["r"]).alias("past")))
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
         f["weight"] = min_variance(np.stack(f["past"].to_list()), floor)
         return f[["month", "code", "score", "weight"]]
 
-    return fold(top, ["month"], ["code"], solve, "month date, code string, score double, weight double")
+    return fold(past, ["month"], ["code"], solve, "month date, code string, score double, weight double")
 
 
 def regime_switch(bars: DataFrame, regimes: DataFrame, n: int = 5) -> DataFrame:

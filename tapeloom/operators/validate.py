@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.operators.kernels import spare
+
 #: Bar length in milliseconds (fixed values).
 STEP_MS = {"1min": 60_000, "5min": 300_000, "15min": 900_000, "30min": 1_800_000, "60min": 3_600_000}
 
@@ -84,6 +86,11 @@ def column_rules(spec: TableSpec, present: Sequence[str]) -> list[Rule]:
     return out
 
 
+def special_treatment_rule() -> Rule:
+    """V4: a row must say whether its security is under special treatment."""
+    return Rule("IsSTNull", ["is_st"], F.col("is_st").isNull())
+
+
 def time_rule(time: str) -> Rule:
     """V3."""
     return Rule("DateValid", [time], F.col(time).isNull() | (F.col(time) <= 0) | (F.col(time) > 4_000_000_000_000))
@@ -141,6 +148,8 @@ def rules_for(df: DataFrame, spec: TableSpec) -> list[Rule]:
         for f in spec.families:
             if f"open_{f}" in have:
                 out += adjustment_rules(f, spec.factor_tolerance[f])
+    if "is_st" in have:
+        out.append(special_treatment_rule())
     if "freq" in have:
         out += frequency_rules(spec.expected_freq, spec.time_key or "time")
     return out
@@ -176,7 +185,8 @@ def rejected(checked: DataFrame, batch_id: str, table: str, source: str) -> Data
 def keep_one_per_key(df: DataFrame, key: Sequence[str], seq: str, flag: str | None = "update_flag") -> DataFrame:
     """Of rows with one key the flagged one stays, else the last by ``seq``."""
     order = ([F.coalesce(F.col(flag), F.lit(0)).desc()] if flag and flag in df.columns else []) + [F.col(seq).desc()]
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+    (n,) = spare(df.columns, "_n")
+    return df.withColumn(n, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col(n) == 1).drop(n)
 
 
 def rule_counts(checked: DataFrame) -> DataFrame:
@@ -184,7 +194,43 @@ def rule_counts(checked: DataFrame) -> DataFrame:
     return checked.select(F.explode("failed_rules").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
+def count_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``rule_counts`` of ``validate`` in one aggregation, without building a list for each row; rules without hits are left out."""
+    by_name: dict[str, Column] = {}
+    for r in rules:
+        hit = F.coalesce(r.rejects, F.lit(False))
+        by_name[r.name] = by_name[r.name] | hit if r.name in by_name else hit
+    if not by_name:
+        return df.sparkSession.createDataFrame([], "rule string, n long")
+    counts = df.agg(*[F.count_if(hit).alias(f"c{k}") for k, hit in enumerate(by_name.values())])
+    rows = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"c{k}").alias("n")) for k, name in enumerate(by_name)])
+    return counts.select(F.explode(rows).alias("r")).select("r.*").where("n > 0")
+
+
 def quarantine_status(quarantine: DataFrame, now, archive_after_days: int, time: str = "ingested_at") -> DataFrame:
     """Pending rows older than the limit become archived."""
     old = (F.col("status") == "pending") & (F.datediff(F.lit(now).cast("date"), F.to_date(time)) > archive_after_days)
     return quarantine.withColumn("status", F.when(old, "archived").otherwise(F.col("status")))
+
+
+def mark_quarantine(quarantine: DataFrame, done: DataFrame, status: str, now, key: str = "quarantine_id") -> DataFrame:
+    """Rows named in ``done`` (by ``key``) become ``fixed`` or ``replayed``, with the time in ``fixed_at`` or ``replayed_at``."""
+    if status not in ("fixed", "replayed"):
+        raise ValueError("status is fixed or replayed")
+    stamp = f"{status}_at"
+    old = F.col(stamp) if stamp in quarantine.columns else F.lit(None).cast("timestamp")
+    (hit,) = spare(quarantine.columns, "_hit")
+    marked = quarantine.join(done.select(key).distinct().withColumn(hit, F.lit(True)), key, "left")
+    return marked.withColumns({"status": F.when(F.col(hit), status).otherwise(F.col("status")),
+                               stamp: F.when(F.col(hit), F.lit(now).cast("timestamp")).otherwise(old)}).drop(hit)
+
+
+def quarantine_stats(quarantine: DataFrame) -> DataFrame:
+    """Rows by table and status."""
+    return quarantine.groupBy("table_name", "status").agg(F.count("*").alias("n"))
+
+
+def rule_alerts(quarantine: DataFrame, per_day: int, time: str = "ingested_at") -> DataFrame:
+    """(table_name, rule, day, n) of rules that rejected over ``per_day`` rows of a table in a day."""
+    each = quarantine.select("table_name", F.explode("failed_rules").alias("rule"), F.to_date(time).alias("day"))
+    return each.groupBy("table_name", "rule", "day").agg(F.count("*").alias("n")).where(F.col("n") > per_day)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.functions.indicators import Series
+from tapeloom.operators import audit as D
 from tapeloom.operators import calendar as cal
 from tapeloom.operators import securities as sec
 from tapeloom.operators import validate as V
@@ -190,7 +192,7 @@ CHECKS = {
        + " UNION ALL ".join(f"SELECT '{name}' AS rule, count(*) AS n FROM b WHERE {cond}{' AND low_front IS NOT NULL' if 'Consist' in name or 'OHLC_' in name else ''} HAVING count(*) > 0" for name, cond in CHECKS.items()))
 def v_counts(spark: S, d: str) -> DataFrame:
     df = dirty_bars(spark, d)
-    return V.rule_counts(V.validate(df, V.rules_for(df, SPEC)))
+    return V.count_rules(df, V.rules_for(df, SPEC))
 
 
 @query("v_split_accepted", f"WITH b AS (SELECT *, (open_front / open + high_front / high + low_front / low + close_front / close) / 4 AS m FROM ({DIRTY})) SELECT code, count(*) AS n FROM b WHERE NOT ("
@@ -219,3 +221,94 @@ def v15(spark: S, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("ann_date"), F.lit("1997-01-01").cast("date").alias("end_date"))
     warn, strict = V.announcement_rule(False, "1999-06-01"), V.announcement_rule(True, "1999-06-01")
     return rows.agg(F.count_if(warn.rejects).alias("ahead"), F.count_if(strict.rejects).alias("rejected"))
+
+
+# rules that clean bars cannot break: columns as text, with faults put in by a rule on the key
+
+TYPED = """SELECT CASE WHEN k % 5 = 0 THEN 'n/a' WHEN k % 5 = 1 THEN 'Infinity' ELSE k::VARCHAR END AS amount, CASE WHEN k % 7 = 0 THEN -1 ELSE k % 90 END AS turnover, CASE WHEN k % 11 = 0 THEN 'X' ELSE 'A' END AS market,
+  CASE WHEN k % 13 <> 0 THEN k % 2 = 0 END AS is_st, lpad((k % 1000000)::VARCHAR, 6, '0') AS code, k::DOUBLE AS open, k::DOUBLE + 1 AS high, k::DOUBLE AS low, k::DOUBLE AS close,
+  CASE WHEN k % 17 = 0 THEN -1.0 ELSE k * 2.0 END AS low_back, k FROM (SELECT l_orderkey * 8 + l_linenumber AS k FROM lineitem)"""
+
+
+def typed_rows(spark: S, d: str) -> DataFrame:
+    k = F.col("k")
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"))
+    return rows.select(
+        F.when(k % 5 == 0, "n/a").when(k % 5 == 1, "Infinity").otherwise(k.cast("string")).alias("amount"), F.when(k % 7 == 0, -1).otherwise(k % 90).alias("turnover"), F.when(k % 11 == 0, "X").otherwise("A").alias("market"),
+        F.when(k % 13 != 0, k % 2 == 0).alias("is_st"), F.lpad((k % 1000000).cast("string"), 6, "0").alias("code"), k.cast("double").alias("open"), (k + 1.0).alias("high"), k.cast("double").alias("low"), k.cast("double").alias("close"),
+        (k * 2.0).alias("open_back"), (k * 2.0 + 2).alias("high_back"), F.when(k % 17 == 0, -1.0).otherwise(k * 2.0).alias("low_back"), (k * 2.0).alias("close_back"))
+
+
+TYPED_SPEC = V.TableSpec({"amount": V.ColumnSpec("number"), "turnover": V.ColumnSpec("number", ge=0), "market": V.ColumnSpec(enum=("A", "B"))}, families=("back",), time_key=None)
+
+
+@query("v4_v16_typed_rules", f"""WITH t AS ({TYPED}) SELECT * FROM (SELECT 'TypeCheck' AS rule, count(*) FILTER (amount = 'n/a') AS n FROM t UNION ALL SELECT 'InfCheck', count(*) FILTER (amount = 'Infinity') FROM t
+UNION ALL SELECT 'RangeCheck', count(*) FILTER (turnover < 0) FROM t UNION ALL SELECT 'EnumCheck', count(*) FILTER (market = 'X') FROM t UNION ALL SELECT 'IsSTNull', count(*) FILTER (is_st IS NULL) FROM t
+UNION ALL SELECT 'AdjustmentPositive_back', count(*) FILTER (low_back <= 0) FROM t UNION ALL SELECT 'AdjustmentFactorConsistency_back', count(*) FILTER (
+  greatest(abs(2 / m - 1), abs(low_back / low / m - 1)) > 0.02) FROM (SELECT *, (6 + low_back / low) / 4 AS m FROM t)) WHERE n > 0""")
+def v_typed(spark: S, d: str) -> DataFrame:
+    df = typed_rows(spark, d)
+    return V.count_rules(df, V.rules_for(df, TYPED_SPEC))
+
+
+def _quarantine(spark: S, d: str) -> DataFrame:
+    df = typed_rows(spark, d).withColumn("k", F.col("close").cast("long"))
+    bad = V.rejected(V.validate(df, V.rules_for(df, TYPED_SPEC)), "b1", "daily_bar", "test")
+    key = F.get_json_object("original_payload", "$.k").cast("long")
+    return bad.withColumns({"quarantine_id": key, "ingested_at": F.timestamp_seconds(F.lit(946684800) + key % 10 * 86400)})
+
+
+_BAD = f"""SELECT k, list_filter(['TypeCheck', 'InfCheck', 'RangeCheck', 'EnumCheck', 'AdjustmentPositive_back', 'AdjustmentFactorConsistency_back', 'IsSTNull'], lambda r: CASE r WHEN 'TypeCheck' THEN amount = 'n/a' WHEN 'InfCheck' THEN amount = 'Infinity'
+  WHEN 'RangeCheck' THEN turnover < 0 WHEN 'EnumCheck' THEN market = 'X' WHEN 'AdjustmentPositive_back' THEN low_back <= 0 WHEN 'IsSTNull' THEN is_st IS NULL ELSE greatest(abs(2 / m - 1), abs(low_back / low / m - 1)) > 0.02 END) AS rules
+  FROM (SELECT *, (6 + low_back / low) / 4 AS m FROM ({TYPED}))"""
+
+
+@query("v18_rule_alerts", f"""SELECT 'daily_bar' AS table_name, rule, DATE '2000-01-01' + (k % 10)::INTEGER AS day, count(*) AS n FROM (SELECT k, unnest(rules) AS rule FROM ({_BAD})) GROUP BY 1, 2, 3
+HAVING count(*) > 20""")
+def v18_alerts(spark: S, d: str) -> DataFrame:
+    return V.rule_alerts(_quarantine(spark, d), 20)
+
+
+@query("v18_lifecycle_stats", f"""WITH b AS (SELECT k FROM ({_BAD}) WHERE len(rules) > 0) SELECT 'daily_bar' AS table_name, CASE WHEN k % 6 = 0 THEN 'replayed' WHEN k % 3 = 0 THEN 'fixed' WHEN k % 10 < 4 THEN 'archived' ELSE 'pending' END AS status, count(*) AS n FROM b GROUP BY ALL""")
+def v18_stats(spark: S, d: str) -> DataFrame:
+    q = V.quarantine_status(_quarantine(spark, d), "2000-01-31", 26)
+    q = V.mark_quarantine(q, q.where("quarantine_id % 3 = 0"), "fixed", "2000-02-01")
+    return V.quarantine_stats(V.mark_quarantine(q, q.where("quarantine_id % 6 = 0"), "replayed", "2000-02-02"))
+
+
+@query("d7_frequency_audit", f"""WITH b AS ({DIRTY}), step AS (SELECT *, CASE freq WHEN '1min' THEN 60000 WHEN '5min' THEN 300000 WHEN '15min' THEN 900000 WHEN '30min' THEN 1800000 WHEN '60min' THEN 3600000 END AS ms FROM b)
+SELECT 'FrequencyValue' AS "check", 'minute_bar' AS "table", count(*) FILTER (ms IS NULL) AS count, 'error' AS severity FROM step UNION ALL SELECT 'FrequencyGrid', 'minute_bar', count(*) FILTER (time % ms <> 0), 'error' FROM step""")
+def d7(spark: S, d: str) -> DataFrame:
+    df = dirty_bars(spark, d)
+    return D.count_checks(df, "minute_bar", D.frequency_checks(df))
+
+
+_SOURCED = "SELECT CASE WHEN l_returnflag = 'N' THEN NULL WHEN l_returnflag = 'R' THEN 'first' ELSE 'second' END AS data_source, CASE WHEN l_returnflag = 'A' THEN l_tax END AS np_yoy, CASE WHEN l_returnflag = 'R' THEN l_tax END AS or_yoy FROM lineitem"
+
+
+def _sourced(spark: S, d: str) -> DataFrame:
+    flag = F.col("l_returnflag")
+    return table(spark, d, "lineitem").select(F.when(flag == "R", "first").when(flag != "N", "second").alias("data_source"), F.when(flag == "A", F.col("l_tax")).alias("np_yoy"), F.when(flag == "R", F.col("l_tax")).alias("or_yoy"))
+
+
+@query("d9_source_audit", f"""SELECT 'SourceTraceability' AS "check", 'fin_indicator' AS "table", count(*) FILTER (data_source IS NULL) AS count, 'error' AS severity FROM ({_SOURCED})
+UNION ALL SELECT 'AuthoritySourceViolation', 'fin_indicator', count(*) FILTER (data_source <> 'first'), 'error' FROM ({_SOURCED})""")
+def d9(spark: S, d: str) -> DataFrame:
+    return D.count_checks(_sourced(spark, d), "fin_indicator", D.source_checks("first", allow_fallback=False))
+
+
+@query("d10_growth_all_null", f"""SELECT 'GrowthFieldAllNull' AS "check", 'fin_indicator' AS "table", 'np_yoy' AS field, count(*) AS count FROM ({_SOURCED}) WHERE data_source = 'first' HAVING count(*) > 0 AND count(np_yoy) = 0
+UNION ALL SELECT 'GrowthFieldAllNull', 'fin_indicator', 'or_yoy', count(*) FROM ({_SOURCED}) WHERE data_source = 'first' HAVING count(*) > 0 AND count(or_yoy) = 0""")
+def d10(spark: S, d: str) -> DataFrame:
+    return D.all_null_fields(_sourced(spark, d), "fin_indicator", ["np_yoy", "or_yoy"], "first")
+
+
+@query("f7_limit_up", f"""WITH b AS (SELECT *, lag(close) OVER (PARTITION BY code ORDER BY day) + 1e-6::DOUBLE AS pc FROM ({BARS})), u AS (SELECT *, round(pc * (1 + CASE WHEN substr(code, 6) IN ('3', '8') THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END) , 2) AS up FROM b WHERE pc IS NOT NULL)
+SELECT code, day, round(up, 2) AS limit_up, close >= up - 0.002 * pc AS sealed, close >= up - 0.002 * pc AND high > low AS traded FROM u""")
+def f7(spark: S, d: str) -> DataFrame:
+    s = Series(daily_bars(spark, d))
+    s.let(pc=s.ref("close") + 1e-6)  # no price is then exactly between two cents, which engines round differently
+    limit = F.when(F.substring("code", 6, 1).isin("3", "8"), 0.2).otherwise(0.1)
+    rows = s.df.where(F.col("pc").isNotNull()).withColumn("limit", limit)
+    sealed = sec.sealed_at_limit(F.col("close"), F.col("pc"), F.col("limit"))
+    return rows.select("code", "day", sec.limit_up_price(F.col("pc"), F.col("limit")).alias("limit_up"), sealed.alias("sealed"), (sealed & (F.col("high") > F.col("low"))).alias("traded"))

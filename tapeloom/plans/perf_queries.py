@@ -111,7 +111,7 @@ def d17(spark: S, d: str) -> DataFrame:
 SELECT count(*) AS n, round(avg(g), 4) AS mean, round(quantile_cont(g, 0.5), 4) AS median, round(quantile_cont(abs(g), 0.5), 4) AS median_abs, round(quantile_cont(abs(g), 0.95), 4) AS p95 FROM g""")
 def d19(spark: S, d: str) -> DataFrame:
     r = reports(spark, d).groupBy("code")
-    got = D.share_sources(r.agg(F.max("shares").alias("shares")), r.agg(F.min("shares").alias("shares")))
+    got = D.share_sources(r.agg(F.max("shares").alias("shares")), r.agg(F.min("shares").alias("shares")), accuracy=None)  # one row a code
     return got.select("n", *[F.round(c, 4).alias(c) for c in ("mean", "median", "median_abs", "p95")])
 
 
@@ -145,14 +145,32 @@ def a16(spark: S, d: str) -> DataFrame:
     return D.fingerprint(daily_bars(spark, d))
 
 
-@query("a16_canonical_digest")
+LINES = "SELECT concat_ws(chr(31), l_linenumber::VARCHAR, l_orderkey::VARCHAR, l_partkey::VARCHAR, coalesce(l_returnflag, chr(30)), l_suppkey::VARCHAR) AS line FROM lineitem"
+
+
+def _lines(spark: S, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("l_returnflag"))
+
+
+@query("a16_canonical_digest", f"""WITH h AS (SELECT sha256(line) AS h FROM ({LINES.replace("l_returnflag, chr(30)", "nullif(l_returnflag, 'N'), chr(30)")}))
+SELECT substr(h, 1, 2) AS shard, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM h GROUP BY 1""")
 def a16b(spark: S, d: str) -> DataFrame:
-    return D.canonical_digest(daily_bars(spark, d), ["code", "day"])
+    return D.canonical_digest(_lines(spark, d), 2)
+
+
+@query("a16_md5_fingerprint", f"""WITH h AS (SELECT ('0x' || substr(md5(line), 1, 15))::BIGINT AS h FROM ({LINES.replace("l_returnflag, chr(30)", "nullif(l_returnflag, 'N'), chr(30)")}))
+SELECT count(*) AS n, bit_xor(h) AS xor_hash, sum(h)::VARCHAR AS sum_hash FROM h""")
+def a16c(spark: S, d: str) -> DataFrame:
+    rows = _lines(spark, d)
+    row = F.conv(F.substring(F.md5(D.canonical_line(rows)), 1, 15), 16, 10).cast("long")
+    return D.fingerprint(rows, row).withColumn("sum_hash", F.col("sum_hash").cast("string"))
 
 
-@query("k4_stratified_sample")
+@query("k4_stratified_sample", f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY day DESC) AS l, md5(code || '|' || day::VARCHAR || '|7') AS h FROM ({BARS})),
+p AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY CASE WHEN l <> 1 THEN 1 ELSE 0 END, h) AS n FROM b)
+SELECT code, day, volume FROM (SELECT * FROM p WHERE n <= 20 ORDER BY n, h, code, day LIMIT 5000)""")
 def k4(spark: S, d: str) -> DataFrame:
-    return D.stratified_sample(daily_bars(spark, d))
+    return D.stratified_sample(daily_bars(spark, d)).select("code", "day", "volume")
 
 
 @query("k5_golden_days", f"""WITH q AS (SELECT b.code, b.day, f.s FROM ({BARS}) b ASOF JOIN (SELECT code, day, row_number() OVER ({BY_CODE}) AS s FROM ({FACTORS})) f ON b.code = f.code AND b.day >= f.day),
@@ -209,10 +227,16 @@ def m9(spark: S, d: str) -> DataFrame:
     return M.round_trips(trades(spark, d), ["day", "id"]).select("code", F.col("seq").cast("long").alias("seq"), "buy_day", "sell_day", F.round("ret", 8).alias("ret"))
 
 
-@query("m10_realised_pnl")
+@query("m10_realised_pnl", f"""WITH RECURSIVE p AS MATERIALIZED (SELECT code, side, price, volume::DOUBLE AS v, row_number() OVER (PARTITION BY code ORDER BY day, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS i FROM ({TRADES})),
+r AS (SELECT DISTINCT code, 0::BIGINT AS i, 0e0 AS held, 0e0 AS cost, NULL::DOUBLE AS gain FROM p
+UNION ALL SELECT p.code, p.i, CASE WHEN side = 'buy' THEN held + v ELSE held - least(v, held) END,
+  CASE WHEN side = 'buy' THEN coalesce((cost * held + price * v) / nullif(held + v, 0), 0e0) ELSE cost END, CASE WHEN side <> 'buy' AND least(v, held) > 0 THEN (price - cost) * least(v, held) END
+  FROM r JOIN p ON p.code = r.code AND p.i = r.i + 1)
+SELECT code, count(gain) AS sells, count(*) FILTER (gain > 0) AS wins, round(coalesce(sum(gain), 0), 4) AS realised, round(max(gain), 4) AS best, round(min(gain), 4) AS worst FROM r GROUP BY code""")
 def m10(spark: S, d: str) -> DataFrame:
-    t = trades(spark, d).withColumn("seq", F.xxhash64("id"))
-    return M.realised_pnl(t, ["day", "seq"])
+    names = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"]
+    got = M.realised_pnl(trades(spark, d).select("code", "day", "side", "price", "volume", *[F.col(f"id.{n}").alias(n) for n in names]), ["day", *names])
+    return got.withColumns({c: F.round(c, 4) for c in ("realised", "best", "worst")})
 
 
 @query("a10_vwap", f"SELECT code, day, round(sum(price * volume) / sum(volume), 6) AS vwap FROM ({TRADES}) GROUP BY 1, 2")
@@ -251,9 +275,10 @@ def w11(spark: S, d: str) -> DataFrame:
     return M.rolling_risk(returns(spark, d), 30).select("portfolio", "day", F.round("vol", 4).alias("vol"), F.round("sharpe", 5).alias("sharpe"))
 
 
-@query("w11_rolling_drawdown")
+@query("w11_rolling_drawdown", f"""WITH v AS (SELECT portfolio, day, CASE WHEN count(r) OVER w = 30 THEN list(nav) OVER w END AS navs FROM ({RET}) WINDOW w AS (PARTITION BY portfolio ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+SELECT portfolio, day, CASE WHEN navs IS NOT NULL THEN round(least(0.0, list_min(list_transform(range(1, 31), lambda k: navs[k] / list_max(navs[1:k]) - 1))), 8) END AS drawdown FROM v""")
 def w11b(spark: S, d: str) -> DataFrame:
-    return M.rolling_risk(returns(spark, d), 30).select("portfolio", "day", "drawdown")
+    return M.rolling_risk(returns(spark, d), 30).select("portfolio", "day", F.round("drawdown", 8).alias("drawdown"))
 
 
 @query("w12_streaks", f"""WITH t AS (SELECT *, sign(pnl) AS s, lag(sign(pnl)) OVER w AS p FROM ({TRADES}) WINDOW w AS (PARTITION BY code ORDER BY day, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity)),

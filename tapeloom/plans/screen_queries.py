@@ -41,9 +41,26 @@ def _candidates(spark: S, d: str) -> DataFrame:
     return s.df.select("day", "code", F.col("_i").alias("age"), (k % 11 != 0).alias("tradable"), (k % 101).cast("double").alias("growth"), F.col("amount").alias("cap"), (k % 7 - 1).cast("double").alias("eps"), "mc112", "mc20")
 
 
-@query("x4_growth_funnel")
+def _clip(x: str, name: str) -> str:
+    """SQL that adds ``name``: ``x`` clipped to its (k + 1)th values from below and above within the day, k = 5 % of those there are."""
+    k = f"floor(count({x}) OVER (PARTITION BY day) * 0.05::DOUBLE)"
+    return (f"SELECT *, CASE WHEN {x} IS NOT NULL THEN greatest(least({x}, max(CASE WHEN down_ = k_ + 1 THEN {x} END) OVER (PARTITION BY day)), max(CASE WHEN up_ = k_ + 1 THEN {x} END) OVER (PARTITION BY day)) END AS {name} "
+            f"FROM (SELECT * EXCLUDE (k_, up_, down_), {k} AS k_, row_number() OVER (PARTITION BY day ORDER BY {x} NULLS LAST) AS up_, row_number() OVER (PARTITION BY day ORDER BY {x} DESC NULLS LAST) AS down_ FROM (%s))")
+
+
+def _rank_mean(x: str) -> str:
+    return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY day ORDER BY {x} NULLS LAST) + (count({x}) OVER (PARTITION BY day, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY day) END"
+
+
+_FUNNEL = f"""WITH c AS (SELECT day, code, amount, row_number() OVER ({BY_CODE}) AS age, CAST(code AS INT) + dayofyear(day) AS k, close / lag(close, 20) OVER ({BY_CODE}) - 1 AS mc20, close / lag(close, 112) OVER ({BY_CODE}) - 1 AS mc112 FROM ({BARS})),
+t AS (SELECT * FROM c WHERE age >= 25 AND k % 11 <> 0), g AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY k % 101 DESC, code) AS r, count(*) OVER (PARTITION BY day) AS n FROM t), h AS (SELECT * FROM g WHERE r <= greatest(1, floor(n * 0.5))),
+s AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY amount, code) AS q FROM h), e AS (SELECT *, 0 AS k_, 0 AS up_, 0 AS down_ FROM s WHERE q <= 30 AND k % 7 - 1 > 0), """
+
+
+@query("x4_growth_funnel", _FUNNEL + f"""w1 AS ({_clip("mc112", "w112") % "SELECT * FROM e"}), w2 AS ({_clip("mc20", "w20") % "SELECT * FROM w1"}), z AS (SELECT *, {_rank_mean("w112")} + {_rank_mean("w20")} AS score FROM w2)
+SELECT day, code, round(score, 8) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY round(score, 9) DESC NULLS LAST, amount, code) AS rank FROM z) WHERE rank <= 10""")
 def x4(spark: S, d: str) -> DataFrame:
-    return X.growth_funnel(_candidates(spark, d), 0.5)[0]
+    return X.growth_funnel(_candidates(spark, d), 0.5)[0].withColumn("score", F.round("score", 8))
 
 
 @query("x4_funnel_counts", f"""WITH c AS (SELECT day, code, row_number() OVER ({BY_CODE}) AS age, CAST(code AS INT) + dayofyear(day) AS k, amount FROM ({BARS})), t AS (SELECT * FROM c WHERE age >= 25 AND k % 11 <> 0),
@@ -74,12 +91,28 @@ def x7(spark: S, d: str) -> DataFrame:
     return X.eight_factors(daily_bars(spark, d)).select("code", "day", F.round("f1", 8).alias("f1"), F.round("f3", 6).alias("f3"), F.round("f6", 8).alias("f6"), "below_trend")
 
 
-@query("x7_scores")
+def _less(x: str) -> str:
+    """A smaller-values share within the day, 0 for missing values and lone rows."""
+    return f"CASE WHEN {x} IS NOT NULL AND count({x}) OVER (PARTITION BY day) > 1 THEN (rank() OVER (PARTITION BY day ORDER BY {x} NULLS LAST) - 1)::DOUBLE / (count({x}) OVER (PARTITION BY day) - 1) ELSE 0e0 END"
+
+
+_F = ("f1", "f2", "f3", "f6", "f8")
+
+
+@query("x7_scores", stages(BARS, [{"dd": f"close - {lag('close')}", "f1": f"close / {lag('close', 20)} - 1", "r60": f"close / {lag('close', 60)} - 1", "v5": rolled("avg", "volume", 5), "v20": rolled("avg", "volume", 20), "a5": rolled("avg", "amount", 5),
+       "a20": rolled("avg", "amount", 20), "top60": rolled("max", "high", 60)} | {f"ma{n}": rolled("avg", "close", n) for n in (5, 10, 20, 60)},
+       {"sd": rolled("stddev_pop", "dd", 60)}, {"f2": "r60 / nullif(sd, 0)", "f3": "v5 / v20", "f6": "close / top60", "f8": "((ma5 > ma10)::INT + (ma10 > ma20)::INT + (ma20 > ma60)::INT)::DOUBLE"},
+       {"score": " + ".join(f"({_less(f)})" for f in _F), "high_share": "avg((close >= top60)::INT) OVER (PARTITION BY day)"}],
+       "day, code, round(score, 8) AS score, a5 < 0.7 * a20 AS contracting, round(high_share, 8) AS new_high_share"))
 def x7b(spark: S, d: str) -> DataFrame:
-    return X.eight_factors(daily_bars(spark, d)).select("day", "code", "score", "contracting", "new_high_share")
+    return X.eight_factors(daily_bars(spark, d)).select("day", "code", F.round("score", 8).alias("score"), "contracting", F.round("new_high_share", 8).alias("new_high_share"))
 
 
-@query("k3_buffer_band")
+@query("k3_buffer_band", f"""WITH RECURSIVE t AS (SELECT code, day, close / lag(close, 20) OVER (PARTITION BY code ORDER BY day) - 1 AS score FROM ({BARS})), k AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY score DESC, code) AS rank FROM t WHERE score IS NOT NULL),
+p AS MATERIALIZED (SELECT 'y' || year(day) AS strategy, day, list(code ORDER BY rank) AS codes, row_number() OVER (PARTITION BY year(day) ORDER BY day) AS i FROM k WHERE rank <= 8 GROUP BY day),
+r AS (SELECT strategy, i, day, codes[1:5] AS held FROM p WHERE i = 1 UNION ALL SELECT strategy, i, day, kept || CASE WHEN len(kept) < 5 THEN list_filter(codes, lambda c: NOT list_contains(kept, c))[1:5 - len(kept)] ELSE [] END
+  FROM (SELECT p.*, list_filter(r.held, lambda c: list_contains(p.codes, c)) AS kept FROM r JOIN p ON p.strategy = r.strategy AND p.i = r.i + 1))
+SELECT strategy, day, unnest(held) AS code FROM r""")
 def k3(spark: S, d: str) -> DataFrame:
     ranks = X.momentum_top(daily_bars(spark, d), 20, 8).select(F.concat(F.lit("y"), F.year("day")).alias("strategy"), "day", "code", "rank")
     return X.buffer_band(ranks)
@@ -105,9 +138,11 @@ def x10(spark: S, d: str) -> DataFrame:
     return X.sector_heat(daily_bars(spark, d), sectors).withColumn("ret", F.round("ret", 6)).withColumn("heat", F.round("heat", 8))
 
 
-@query("x11_overnight_features")
+@query("x11_overnight_features", f"""WITH RECURSIVE p AS MATERIALIZED (SELECT *, row_number() OVER ({BY_CODE}) AS i, {rolled("max", "high", 4)} AS h4, {rolled("min", "low", 4)} AS l4, row_number() OVER (PARTITION BY day ORDER BY amount, code) AS n FROM ({BARS})),
+r AS (SELECT code, i, close AS e FROM p WHERE i = 1 UNION ALL SELECT p.code, p.i, r.e + (p.close - r.e) / 3e0 FROM r JOIN p ON p.code = r.code AND p.i = r.i + 1)
+SELECT day, code, round((h4 - l4) / l4, 7) AS amp, round(e, 5) AS ema5, row_number() OVER (PARTITION BY day ORDER BY amount, code)::INTEGER AS rank FROM p JOIN r USING (code, i) WHERE n <= 10 AND (h4 - l4) / l4 <= 5.0 AND close > e""")
 def x11(spark: S, d: str) -> DataFrame:
-    return X.overnight_features(daily_bars(spark, d), 10, 5.0)
+    return X.overnight_features(daily_bars(spark, d), 10, 5.0).withColumns({"amp": F.round("amp", 7), "ema5": F.round("ema5", 5)})
 
 
 @query("x12_bbi_rotation", stages(BARS, [{f"m{n}": rolled("avg", "close", n) for n in (3, 6, 12, 20)} | {"change": f"close / {lag('close')} - 1"}, {"ratio": "(m3 + m6 + m12 + m20) / 4 / close"}], "*").replace("SELECT * FROM t2", """,

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,41 @@ def test_calendar(spark):
     got = {r.day: r.shifted for r in calendar.shift_days(days, days, 1).collect()}
     assert got == {day(0): day(1), day(1): day(4), day(4): None}
     assert calendar.minute_grid(days).count() == 3 * 241
+
+
+def test_digest_ignores_order_and_sees_nulls(spark):
+    a = spark.createDataFrame([(k, f"v{k}", None if k % 3 else 1.5) for k in range(300)], "id long, v string, x double")
+    first = sorted(audit.canonical_digest(a, 1).collect())
+    assert first == sorted(audit.canonical_digest(a.orderBy(F.desc("id")).repartition(7), 1).collect()) and sum(r.n for r in first) == 300
+    assert first != sorted(audit.canonical_digest(a.na.fill(0.0), 1).collect())
+
+
+def test_change_points_at_zero(spark):
+    rows = spark.createDataFrame([("a", k, x) for k, x in enumerate([0.0, 0.0, 0.0, 1.0, 1.0, None, 1.0])], "code string, day int, ratio double")
+    assert [r.segment for r in adjust.change_points(rows).orderBy("day").collect()] == [1, 1, 1, 2, 2, 3, 4]
+
+
+def test_chosen_weights_against_pandas(spark):
+    """X5 on a small table: the chosen codes and their least-variance weights, worked out from the raw closes."""
+    rng = np.random.default_rng(3)
+    days = pd.date_range("2020-01-01", periods=150)
+    closes = pd.DataFrame(50 + np.cumsum(rng.normal(size=(150, 8)), axis=0), index=days, columns=[f"{k:06d}" for k in range(8)])
+    rows = [(c, d.date(), float(closes[c][d])) for c in closes for d in days]
+    got = screen.four_factor_weights(spark.createDataFrame(rows, "code string, day date, close double"), lookback=60, k=3).toPandas()
+    r = closes.pct_change()
+    months = pd.Series(days, days).groupby(days.to_period("M")).max()
+    want = {}
+    for end in months:
+        past = r[:end].tail(60)
+        if len(past) < 60 or past.isna().any().any():
+            continue
+        peak = closes.rolling(60).max()
+        low = (closes / peak - 1).rolling(60).min().loc[end]
+        if low.isna().any():
+            continue
+        score = sum(x.rank() / x.count() for x in (past.mean() / past.std(ddof=0), (past > 0).mean(), low, past.mean()))
+        top = score.round(9).sort_index().sort_values(ascending=False, kind="stable").index[:3]
+        top = sorted(top)
+        for c, w in zip(top, screen.min_variance(past[top].to_numpy().T, 0.0005)):
+            want[(end.replace(day=1).date(), c)] = w
+    assert len(want) >= 3 and {(m, c): pytest.approx(w, abs=1e-9) for m, c, w in zip(got.month, got.code, got.weight)} == want

@@ -28,7 +28,7 @@ def norm(v):
     if isinstance(v, bool):
         return str(int(v))
     if isinstance(v, (float, decimal.Decimal)):
-        return f"{float(v):.5g}"
+        return f"{float(v):.10g}"
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None).isoformat()
     return str(v)
