@@ -180,7 +180,7 @@ def _best(score: np.ndarray, k: int, margin: float, exact, least: np.ndarray) ->
 
 
 def nearest(vectors: DataFrame, query_if: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, trees: int = 4,
-            leaf_rows: int = 128, recall: float = 0.96, search_share: float | None = None, sample_rows: int = 20_000, block_rows: int = 10_000) -> DataFrame:
+            leaf_rows: int = 128, recall: float = 0.96, search_share: float | None = None, sample_rows: int = 20_000, block_values: int = 4_000_000) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row that ``query_if`` (over ``vec_id``) selects.
 
     A row is not a candidate for itself, but rows with its vector are. Ties go
@@ -196,7 +196,7 @@ def nearest(vectors: DataFrame, query_if: Column, id_col: str = "vec_id", vector
     the table (a row counts once per tree). By default the sample tells that share:
     it is the one at which searches of the sample meet ``recall`` of the true
     neighbours. Only visited leaves are scored. Leaves are dealt to tasks of about
-    ``block_rows`` rows, and larger leaves split.
+    ``block_values`` vector components, and larger leaves split.
     """
     usable = materialize(usable_vectors(vectors, id_col, vector_col).distinct(), "ann-vectors")
     schema = "query_id long, rank int, vec_id long, score double"
@@ -232,7 +232,7 @@ def nearest(vectors: DataFrame, query_if: Column, id_col: str = "vec_id", vector
     counts = np.zeros((trees, forest.leaves))
     for r in indexed.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect():  # at most trees x leaves of the sample
         counts[r["tree"], r["leaf"]] = r["count"]
-    block_of, parts, blocks = deal(counts, block_rows)
+    block_of, parts, blocks = deal(counts, max(1, block_values // max(1, d)))
 
     queries = usable.where(query_if).select(F.col("vec_id").alias("query_id"), "v")
     asked = materialize(queries.select("v").distinct().join(distinct.select("v", "rep"), "v").withColumnRenamed("rep", "q"), "ann-queries")

@@ -123,7 +123,7 @@ def test_ties_repeated_ids_and_a_leaf_in_parts(spark):
     rows = [(k, [float(k % 7 == j) for j in range(7)] + [0.0]) for k in range(300)] + [(300 + k, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, k / 64]) for k in range(200)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     want = brute(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
-    got = neighbours.nearest(frame, F.col("vec_id") % 20 == 0, block_rows=40, search_share=9.0).toPandas().sort_values(["query_id", "rank"]).groupby("query_id").vec_id.apply(list)
+    got = neighbours.nearest(frame, F.col("vec_id") % 20 == 0, block_values=320, search_share=9.0).toPandas().sort_values(["query_id", "rank"]).groupby("query_id").vec_id.apply(list)
     assert {q: got[q] for q in want} == want
     twice = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (3, [0.6, 0.8]), (4, [0.9, 0.1])], "vec_id long, embedding array<double>")
     got = sorted((r["rank"], r.vec_id, round(r.score, 6)) for r in neighbours.nearest(twice, F.col("vec_id") % 20 == 0).collect())
