@@ -33,12 +33,12 @@ POOL = 16_384
 FULL_ENOUGH = 0.97
 _SPACE_THEN = re.compile(r" (?:\s|\Z)")
 _JOINED_SPACE = re.compile(r"\s (?:\s|\Z)")
-#: Pieces a worker remembers before it forgets the long ones.
-CACHE_ENTRIES = 600_000
+#: Characters of the pieces that a worker remembers before it starts afresh, and of the longest of them.
+CACHE_CHARS, CACHED_PIECE = 8_000_000, 48
 #: The pre-tokens of byte-level BPE (fixed by the vocabulary file's pre-tokenizer).
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PROBES = ["", " ", "a", "It's 3 o'clock,  don't!\n\n  Über-straße\t§12 x\u00a0y \u4f60\u597d \U0001f600.", "<|endoftext|> ab<|endoftext|>", "unbelievable  THTHES!!\r\n 'll"]
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[tuple[str, bool], "Encoder"] = {}
+_proved: dict[str, bool] = {}
 
 
 def _bytes_of_tokens() -> dict[str, int]:
@@ -48,69 +48,90 @@ def _bytes_of_tokens() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def ranks_tell_merges(path: str) -> bool:
+    """Whether merging whatever adjacent tokens make the lowest id gives the same ids as the file's merges in their order.
+
+    It does if the merges are in the order of their results' ids and every result,
+    cut by the merges before its own, falls into just the two parts of its own: then
+    no other two tokens that make it can stand side by side when its turn comes.
+    Nothing else in the file may change texts or tokens, and its pre-tokens must be ``PRE_TOKENS``.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = (model.get("type", "BPE") == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+             and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges", "fuse_unk")))
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    turn = {m: k for k, m in enumerate(merges)}
+    ids = [model["vocab"].get(a + b, -1) for a, b in merges]
+    if not plain or len(turn) < len(merges) or min(ids, default=0) < 0 or any(x >= y for x, y in zip(ids, ids[1:])) or len(model["vocab"]) - len(merges) - len(spec.get("added_tokens", [])) > 256:
+        return False
+    for k, (left, right) in enumerate(merges):
+        parts = list(left + right)
+        while len(parts) > 1:
+            first, at = min((turn.get(pair, k), i) for i, pair in enumerate(zip(parts, parts[1:])))
+            if first >= k:
+                break
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        if parts != [left, right]:
+            return False
+    return True
+
+
 class _Known(dict):
-    """Piece between spaces -> its ids as bytes, encoded when first asked for."""
+    """Piece between spaces -> its ids as bytes, encoded when first asked for; short ones are remembered."""
 
     def __init__(self, encode, lead: str):
         super().__init__()
-        self.encode, self.lead = encode, lead
+        self.encode, self.lead, self.chars = encode, lead, 0
 
     def __missing__(self, piece: str) -> bytes:
-        value = self[piece] = self.encode(self.lead + piece)
+        value = self.encode(self.lead + piece)
+        if len(piece) <= CACHED_PIECE:
+            if self.chars > CACHE_CHARS:
+                self.clear()
+                self.chars = 0
+            self[piece] = value
+            self.chars += len(piece) + 1
         return value
 
-    def trim(self) -> None:
-        if len(self) > CACHE_ENTRIES:  # what is long hardly recurs
-            for piece in [p for p in self if len(p) > 7]:
-                del self[piece]
-
 
 class Encoder:
     """Token ids as little-endian 32-bit bytes, by a byte-level BPE file.
 
-    The ids are those of ``tokenizers`` with special tokens taken as text. If
-    the file's merges are in the order of its ids, ``tiktoken`` applies the
-    same vocabulary several times faster; a set of probes is encoded by both
-    and only if they agree is it used.
+    The ids are those of ``tokenizers`` with special tokens taken as text. Where
+    ``ranks_tell_merges`` holds, ``tiktoken`` applies the same vocabulary several times faster.
 
     The pre-tokenizer of byte-level BPE starts a new unit at every single
     space that follows a character other than white space, so the pieces between
-    spaces are encoded once each and remembered. Texts in which a space
-    touches other white space are encoded whole.
+    spaces are encoded by themselves. Texts in which a space touches other white
+    space are encoded whole.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.whole = self._fast(path) or self._slow
+    def __init__(self, path: str, by_rank: bool):
+        self.whole = self._ranked(path) if by_rank else self._merged(path)
         self.after_space, self.first = _Known(self.whole, " "), _Known(self.whole, "")
 
-    def _slow(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    @staticmethod
+    def _merged(path: str):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        return lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _fast(self, path: str):
+    @staticmethod
+    def _ranked(path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        added = {t["content"] for t in spec.get("added_tokens", [])}
-        to_byte = _bytes_of_tokens()
-        try:
-            ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
-            plain = tiktoken.Encoding("bpe", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
-        except (KeyError, ValueError):
-            return None
-
-        def whole(text: str) -> bytes:
-            return array("I", plain.encode_ordinary(text)).tobytes()
-
-        return whole if all(whole(t) == self._slow(t) for t in PROBES) else None
+        added, to_byte = {t["content"] for t in spec.get("added_tokens", [])}, _bytes_of_tokens()
+        ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+        plain = tiktoken.Encoding("bpe", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+        return lambda text: array("I", plain.encode_ordinary(text)).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        self.after_space.trim()
-        self.first.trim()
         out, get, first = [], self.after_space.__getitem__, self.first
         for text in texts:
             if _SPACE_THEN.search(text) and _JOINED_SPACE.search(text):
@@ -121,10 +142,10 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, by_rank: bool) -> Encoder:
+    if (path, by_rank) not in _encoders:
+        _encoders[path, by_rank] = Encoder(path, by_rank)
+    return _encoders[path, by_rank]
 
 
 class CapacityTree:
@@ -219,7 +240,7 @@ def pack_pool(pieces: list[Piece], window: int) -> Iterator[list[Piece]]:
                 room = size = min(window, 1 << max(0, left.bit_length() - 1))
 
 
-SCHEMA_TAIL = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+TAIL = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -229,14 +250,18 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     ``window`` must be a power of two. Null and empty texts are the end id
     alone. Repeated rows and null ids are packed like any other row; other
     columns are not carried. An empty table gives no pieces. ``sequence_id``
-    is the task's partition number times 2**32 plus a count.
+    is the task's partition number times 2**32 plus a count. The id may be of any
+    type that text can be cast to; a column of the result that has its name
+    gets a leading underscore.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, {SCHEMA_TAIL}" + (", ids array<int>" if with_ids else "")
+    if tokenizer_path not in _proved:
+        _proved[tokenizer_path] = ranks_tell_merges(tokenizer_path)
+    by_rank, tail = _proved[tokenizer_path], [*TAIL, *["ids"] * with_ids]
+    schema = "doc string, " + ", ".join(f"{c} {'array<int>' if c == 'ids' else 'long'}" for c in tail)
     end = int(end_id).to_bytes(4, "little")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, serial = encoder(tokenizer_path), TaskContext.get().partitionId() << 32
+        enc, serial = encoder(tokenizer_path, by_rank), TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
         waiting: list[Piece] = []
 
@@ -252,10 +277,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             serial += 1
 
         def out() -> pd.DataFrame:
-            names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-            frame = pd.DataFrame(rows, columns=names)
-            if id_type in ("bigint", "int", "smallint", "tinyint"):
-                frame[id_col] = frame[id_col].astype("Int64")
+            frame = pd.DataFrame(rows, columns=["doc", *tail])
             rows.clear()
             return frame
 
@@ -279,10 +301,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             emit(sequence)
         yield out()
 
-    id_in = F.col(id_col).cast("string") if id_type not in ("string",) else F.col(id_col)
-    slim = docs.select(id_in.alias("i"), F.col(text_col).alias("t"))
-    if id_type in ("bigint", "int", "smallint", "tinyint"):
-        slim = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-        # pandas turns a long column with nulls to floats; text keeps every id exact
-        slim = slim.withColumn("i", F.col("i").cast("string"))
-    return slim.mapInPandas(pack, schema)
+    kind = docs.schema[id_col].dataType
+    binary = kind.simpleString() == "binary"
+    ident = F.hex(id_col) if binary else F.col(id_col).cast("string")
+    packed = docs.select(ident.alias("i"), F.col(text_col).alias("t")).mapInPandas(pack, schema)
+    back = F.unhex("doc") if binary else F.col("doc").cast(kind)
+    return packed.select(back.alias(id_col), *[F.col(c).alias(f"_{c}" if c.lower() == id_col.lower() else c) for c in tail])

@@ -1,3 +1,4 @@
+import json
 import re
 import time
 import zlib
@@ -137,9 +138,39 @@ def test_best_fit_takes_the_tightest_window():
 
 
 def test_encoder_equals_the_tokenizer():
-    enc = packing.Encoder(registry.byte_bpe_path())
+    enc = packing.Encoder(registry.byte_bpe_path(), packing.ranks_tell_merges(registry.byte_bpe_path()))
     texts = ["", " ", "a  b", "a\n b", "a \n b ", "it's <|endoftext|>", "x\u00a0 y", "ab " * 5000, "\x1c a"]
-    assert enc.encode(texts) == [enc._slow(t) for t in texts]
+    slow = packing.Encoder(registry.byte_bpe_path(), False)
+    assert enc.encode(texts) == [slow.whole(t) for t in texts]
+
+
+def test_any_id_type_and_clashing_names(spark):
+    rows = docs(spark, ["one two", None, "three"])
+    for kind in ("date", "decimal(20,4)", "timestamp", "binary", "double", "boolean"):
+        cast = {"date": "date_add(date'2020-01-01', cast(doc_id as int))", "timestamp": "timestamp_seconds(doc_id)", "binary": "unhex('ff0a')", "boolean": "doc_id > 1"}.get(kind, f"cast(doc_id as {kind})")
+        own = rows.selectExpr(f"{cast} as start", "text")
+        got = packing.pack_documents(own, registry.byte_bpe_path(), id_col="start")
+        assert got.schema["start"].dataType == own.schema["start"].dataType and "_start" in got.columns
+        assert sorted(str(r[0]) for r in got.collect()) == sorted(str(r[0]) for r in own.collect())
+
+
+def test_long_pieces_are_not_remembered(spark):
+    enc = packing.Encoder(registry.byte_bpe_path(), True)
+    han = "".join(chr(0x4E00 + k % 20_000) for k in range(300_000))
+    slow = packing.Encoder(registry.byte_bpe_path(), False)
+    assert enc.encode([han[:5_000], han]) == [slow.whole(han[:5_000]), enc.whole(han)] and not enc.first
+    enc.encode([" ".join(f"w{k}" for k in range(10_000))])
+    assert len(enc.after_space) == 9_999 and enc.after_space.chars < 100_000
+
+
+def test_ranks_are_not_trusted_without_proof(tmp_path):
+    spec = {"model": {"type": "BPE", "vocab": {c: k for k, c in enumerate("abc")} | {"bc": 3, "ab": 4, "abc": 5}, "merges": ["b c", "a b", "ab c"]}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "added_tokens": []}
+    path = tmp_path / "odd.json"
+    path.write_text(json.dumps(spec))  # "abc" is cut as a|bc by the merges before its own
+    assert not packing.ranks_tell_merges(str(path))
+    spec["model"]["merges"] = ["b c", "a b", "a bc"]
+    path.write_text(json.dumps(spec))
+    assert packing.ranks_tell_merges(str(path))
 
 
 # decontamination
