@@ -2,8 +2,9 @@
 
 The tree builder reads tags and text in one pass and opens and closes what HTML
 leaves out (``</p>``, ``</li>``, ``</td>``, ``</head>``, a table's body and rows). The renderer
-leaves out what a reader would not see (scripts, styles, ``hidden``,
-``display:none``), puts blocks on lines of their own, marks list items, and
+leaves out what a reader would not see (scripts, styles, ``hidden``, and
+``display:none`` or ``visibility:hidden`` in an element's own style; rules of
+style sheets are not applied), puts blocks on lines of their own, marks list items, and
 sets table cells in aligned columns.
 """
 
@@ -39,6 +40,8 @@ _IN_HEAD = frozenset("base link meta title style script noscript noframes templa
 _P_BORDER = frozenset({"td", "th", "table", "button", "object", "caption"})
 #: Tables within tables beyond this depth are rendered as blocks without columns.
 DEEPEST_TABLE = 16
+#: A wider cell does not widen its column; columns are aligned if that takes no more than so many times the table's text.
+WIDEST, PADDING = 120, 20
 _TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _HIDDEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
@@ -239,8 +242,17 @@ def _render(node: Node, out: _Out, pre: bool, lists: list[list], tables: int = 0
             todo += [("text", c, inner) if isinstance(c, str) else ("open", c, inner) for c in reversed(item.children)]
 
 
-def _rows(table: Node, tables: int) -> tuple[list[str], list[list[str]]]:
+def _span(cell: Node, name: str, most: int) -> int:
+    """A colspan or rowspan as HTML reads it; a rowspan of zero goes on to the end."""
+    value = cell.attrs.get(name, "1").strip()
+    n = min(int(value), most) if re.fullmatch(r"\d{1,9}", value) else 1
+    return n or (most if name == "rowspan" else 1)
+
+
+def _rows(table: Node, tables: int) -> tuple[list[str], list[list[tuple[int, str]]]]:
+    """Captions, and rows of (column, text); columns that spans take up are left out."""
     captions, rows = [], []
+    taken: list[tuple[int, int, int]] = []  # columns from, to, and the first row that has them free again
     todo = list(reversed(table.children))
     while todo:
         node = todo.pop()
@@ -252,15 +264,30 @@ def _rows(table: Node, tables: int) -> tuple[list[str], list[list[str]]]:
         elif node.name in ("tbody", "thead", "tfoot", "colgroup"):
             todo += reversed(node.children)
         elif node.name == "tr":
-            cells: list[str] = []
+            cells: list[tuple[int, str]] = []
+            now = len(rows)
+            held = iter(sorted(x for x in taken if x[2] > now))
+            nxt = next(held, None)
+            kept, column = [x for x in taken if x[2] > now + 1], 0
             for c in node.children:
+                if isinstance(c, str) and not c.strip() or not isinstance(c, str) and _hidden(c):
+                    continue
+                while nxt and nxt[0] <= column:
+                    column, nxt = max(column, nxt[1]), next(held, None)
                 if isinstance(c, str):
-                    if c.strip():
-                        cells.append(_SPACE.sub(" ", c).strip())
-                elif not _hidden(c):
-                    cells.append(_cell(c, tables))
-                    span = c.attrs.get("colspan", "1")
-                    cells += [""] * (min(int(span), 1000) - 1 if re.fullmatch(r"\d{1,6}", span) and int(span) > 1 else 0)
+                    cells.append((column, _SPACE.sub(" ", c).strip()))
+                    column += 1
+                    continue
+                cells.append((column, _cell(c, tables)))
+                to, down = column + _span(c, "colspan", 1_000), _span(c, "rowspan", 65_534)
+                if down > 1:
+                    last = kept[-1] if kept else None
+                    if last and last[1] == column and last[2] == now + down:
+                        kept[-1] = (last[0], to, last[2])
+                    else:
+                        kept.append((column, to, now + down))
+                column = to
+            taken = kept
             rows.append(cells)
         else:
             captions.append(_cell(node, tables))
@@ -276,18 +303,30 @@ def _cell(node: Node, tables: int) -> str:
 
 
 def _table(table: Node, tables: int) -> str:
-    """Captions, then rows with cells padded to their column; a cell's lines stay in it."""
+    """Captions, then rows with cells padded to their column; a cell's lines stay in it.
+
+    Cells of over ``WIDEST`` characters do not widen their column. A table whose
+    padding would take over ``PADDING`` times its text is written without.
+    """
     captions, rows = _rows(table, tables)
-    split = [[cell.split("\n") for cell in row] for row in rows]
-    width: list[int] = []
+    split = [[(k, cell.split("\n")) for k, cell in row] for row in rows]
+    width: dict[int, int] = {}
     for row in split:
-        width += [0] * (len(row) - len(width))
-        for k, cell in enumerate(row):
-            width[k] = max(width[k], *map(len, cell))
+        for k, cell in row:
+            width[k] = max(width.get(k, 0), *(len(x) if len(x) <= WIDEST else 0 for x in cell))
+    columns = max(width, default=-1) + 1
+    tall = sum(max([1, *(len(cell) for _, cell in row)]) for row in split)
+    text = sum(len(x) for row in rows for _, x in row)
+    aligned = tall * (3 * columns + sum(width.values())) <= PADDING * (text + tall + 100)
     lines = [c for c in captions if c]
     for row in split:
-        for n in range(max([1, *map(len, row)])):
-            lines.append(" | ".join((cell[n] if n < len(cell) else "").ljust(width[k]) for k, cell in enumerate(row)).rstrip())
+        for n in range(max([1, *(len(cell) for _, cell in row)])):
+            here = {k: cell[n] for k, cell in row if n < len(cell)}
+            if aligned:
+                upto = max((k for k, x in row), default=-1) + 1
+                lines.append(" | ".join(here.get(k, "").ljust(width.get(k, 0)) for k in range(upto)).rstrip())
+            else:
+                lines.append(" | ".join(x for x in here.values() if x))
     return "\n".join(lines)
 
 
