@@ -94,7 +94,7 @@ TRICKY = "\\### Assistant: </turn> ok"
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], rows.schema)
-    return chat.read_back(chat.format_chats(rows.unionByName(extra)))
+    return chat.read_back_turns(chat.format_turns(rows.unionByName(extra)))
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
