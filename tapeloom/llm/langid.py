@@ -107,27 +107,26 @@ def fit_byte_cnn(texts: list[str], langs: list[str], labels: list[str], widths:
 
 
 def train_langid(docs: DataFrame, train_if: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-                 max_rows_per_lang: int = 1500, crop: int = 400) -> ByteCNN:
-    """Fit on at most about ``max_rows_per_lang`` rows of each language.
+                 max_rows_per_lang: int = 1500, crop: int = 400, max_langs: int = 200) -> ByteCNN:
+    """Fit on at most about ``max_rows_per_lang`` rows of each of the ``max_langs`` commonest languages.
 
     Rows with null text, language or id are not used. From each sampled row a
-    crop of ``crop`` characters at a hashed position is taken, so what reaches
-    the driver is bounded by languages x rows x crop.
+    crop of ``crop`` characters is taken, at a hashed position anywhere in the
+    text, so what reaches the driver is bounded by languages x rows x crop. The
+    sample follows from the rows alone, so every run fits the same model.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).where(train_if)
-    counts = {r[lang_col]: r["count"] for r in known.groupBy(lang_col).count().collect()}
-    if not counts:
+    langs = known.groupBy(F.col(lang_col).alias("_y")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_y").limit(max_langs)
+    names = sorted(r["_y"] for r in langs.select("_y").collect())
+    if not names:
         return fit_byte_cnn([], [], [UNKNOWN])
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, min(1.0, max_rows_per_lang / n)).otherwise(share)
     dice = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     room = F.greatest(F.length(text_col) - crop, F.lit(0)) + 1
     start = 1 + F.pmod(F.xxhash64(F.col(id_col), F.lit("crop")), room)
-    rows = (known.where(dice < share)
-            .select(F.col(id_col).alias("i"), F.col(lang_col).alias("y"), F.substring(text_col, start.cast("int"), F.lit(crop)).alias("t"))
-            .limit(2 * max_rows_per_lang * len(counts)).toPandas().sort_values(["i", "t"]))
-    return fit_byte_cnn(rows["t"].tolist(), rows["y"].tolist(), sorted(counts))
+    rows = (known.select(F.col(id_col).alias("_i"), F.col(lang_col).alias("_y"), dice.alias("_d"), F.substring(text_col, start.cast("int"), F.lit(crop)).alias("_t"))
+            .join(F.broadcast(langs), "_y").where(F.col("_d") * F.col("_n") < max_rows_per_lang)
+            .orderBy("_d", "_i", "_t").limit(2 * max_rows_per_lang * len(names)).select("_i", "_y", "_t").toPandas().sort_values(["_i", "_t"]))
+    return fit_byte_cnn(rows["_t"].tolist(), rows["_y"].tolist(), names)
 
 
 def classify(texts: pd.Series, model: ByteCNN, windows_at_once: int = 4096) -> pd.DataFrame:

@@ -84,7 +84,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train_if: Column, id_col:
 
     The rows are those of least hash of their id, so the sample is the same on
     every run and its size does not grow with the input. Rows with a null id,
-    a label other than 0 or 1, or an id labelled both ways are not used. With
+    a label other than 0 or 1, or an id labelled both ways are not used; of the
+    texts of a repeated id the least counts. With
     no rows of a class, the model is constant: label 1 only if all known rows
     have it, else label 0, so that nothing is rejected for want of labels.
     """
@@ -101,25 +102,26 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train_if: Column, id_col:
     share = {y: min(1.0, max_rows_per_class / n) for y, n in counts.items()}
     dice = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = known.where(dice < F.when(F.col("_y") == 1, share[1]).otherwise(share[0]))
-    few = F.broadcast(sample.limit(3 * max_rows_per_class))  # ids and labels only, of a stated number of rows
-    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(few, "_id").dropDuplicates(["_id"])
+    few = F.broadcast(sample.orderBy(dice, "_id").limit(3 * max_rows_per_class))  # ids and labels only, of a stated number of rows
+    picked = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(few, "_id")
+              .groupBy("_id", "_y").agg(F.min("_text").alias("_text")))
 
     @F.pandas_udf("binary")
     def distinct_features(text: pd.Series) -> pd.Series:
         return text.map(lambda t: np.unique(feature_ids(t, bits)).astype(np.int32).tobytes(), na_action=None)
 
-    rows = picked.select("_id", "_y", distinct_features("_text").alias("f")).limit(3 * max_rows_per_class).toPandas().sort_values("_id")
+    rows = picked.select("_id", "_y", distinct_features("_text").alias("f")).toPandas().sort_values("_id")
     if rows["_y"].nunique() < 2:
         return constant(set(rows["_y"]))
     return fit_ftrl([np.frombuffer(f, np.int32) for f in rows["f"]], rows["_y"].tolist(), bits)
 
 
-_TABLES: dict[bytes, np.ndarray] = {}
+_TABLES: dict[tuple, np.ndarray] = {}
 
 
 def score_texts(texts: pd.Series, model: SparseModel) -> pd.Series:
     """Probability of label 1 for each whole text; null scores as empty."""
-    key = model.weight.tobytes()
+    key = model.bits, model.index.tobytes(), model.weight.tobytes()
     if key not in _TABLES:
         _TABLES.clear()
         _TABLES[key] = model.dense()

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import re
 import time
@@ -359,3 +360,24 @@ def test_html_never_fails_and_keeps_rows(spark):
     pages = spark.createDataFrame([(k, h) for k, h in enumerate(bad + [None, None])], "page_id long, html string").withColumn("text", F.lit("old"))
     got = html_text.extract_text(pages)
     assert got.count() == 9 and got.where("text is null").count() == 0 and html_text.extract_text(pages.limit(0)).count() == 0
+
+
+def test_turn_rows_read_back_as_whole_conversations_do(spark):
+    """Every turn is its own row; blocks in order parse as one text; digests equal those of the source, long conversations included."""
+    rnd = __import__("random").Random(5)
+    bits = ["### ", ": ", "</turn>\n", "\\~", "\\", "#", "<", "ok ", "\n", "assistant"]
+    rows = [(rnd.choice([None, 1, 2, 2**60]), rnd.randrange(9), rnd.choice(["user", "assistant", "a:b\n", None]), rnd.choice([None, "".join(rnd.choices(bits, k=rnd.randrange(12)))])) for _ in range(300)]
+    rows += [(3, k, "assistant" if k % 2 else "user", f"turn {k} </turn>" * 5) for k in range(4_000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("mask", F.lit(1)).withColumn("block", F.lit("x"))
+    turns = chat.format_turns(frame)
+    got = {r.conv_id: r for r in chat.read_back_turns(turns).collect()}
+    blocks = turns.collect()
+    assert set(got) == {None, 1, 2, 2**60, 3}
+    for conv, r in got.items():
+        source = sorted((t, role or "", text or "") for c, t, role, text in rows if c == conv)
+        out = "".join(b.block for b in sorted((b for b in blocks if b.conv_id == conv), key=lambda b: (b.turn, b.role, b.text)))
+        assert [(a, b) for a, b, _, _ in chat.parse(out)] == [(a, b) for _, a, b in source] and r.formatted_chars == len(out) and r.n_turns == len(source)
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in source).encode()).hexdigest()
+        loss = "".join(b for _, a, b in source if a == "assistant")
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.read_back_turns(chat.format_turns(frame.limit(0))).count() == 0
