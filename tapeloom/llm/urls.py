@@ -3,14 +3,17 @@
 Rules are host and path prefixes; the longest that fits decides. The urls that
 rules decide are the labelled ones. Per host, paths form a tree of segments:
 segments that look variable (numbers, hex, long tokens), or that hardly repeat
-under their parent, become wildcards. Sibling branches whose labelled share
-does not differ significantly from their parent's are merged into it, level by
-level from the bottom. What remains are templates; one is blocked when the
-share of blocked urls among its labelled ones, smoothed towards its host's and
-the corpus's share, reaches a threshold.
+under their parent, become wildcards. Sibling branches, inner ones as well as
+last segments, whose labelled share does not differ significantly from their
+parent's become one wildcard branch, level by level from the bottom. What remains
+are templates; one is blocked when the share of blocked urls among its labelled
+ones, smoothed towards its parent's, and that towards its own, up to the host
+and the corpus, reaches a threshold. So a template without labels follows its
+nearest labelled ancestor.
 
 Everything is counts over (host, node), so a host with a third of all urls is
-a partial aggregate like any other.
+a partial aggregate like any other; urls meet their template by distinct path,
+the commonest paths by broadcast.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import materialize
+from tapeloom.llm.common import join_hot, materialize
 
 Rule = tuple[str, str, str]  # verdict, host, path
 
@@ -54,7 +57,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     """(id, host, path, rule, verdict, template, purity) for every row of ``pages``.
 
     A null url, or one without ``://``, has an empty host and path and an empty
-    template. Segments beyond ``depth`` count as one. Repeated rows stay rows;
+    template. Segments beyond ``depth`` count as one: the tree has that many
+    levels, whatever the urls hold. Repeated rows stay rows;
     other columns are not carried, so their names cannot clash. Without any
     labelled url all templates have purity 0 and are allowed.
     """
@@ -81,34 +85,41 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
              .join(wild, ["host", "k", "parent"], "left_semi").groupBy("host", "segs").agg(F.collect_set("k").alias("wild")))
     general = F.transform("segs", lambda s, i: F.when(F.array_contains(F.coalesce("wild", F.array().cast("array<int>")), i + 1), "*").otherwise(s))
     paths = lexical.join(marks, ["host", "segs"], "left").withColumn("template", F.array_join(general, "/"))
-    paths = materialize(paths.select("host", "segs", "template", "known", "bad"), "url-templates")
+    paths = materialize(paths.select("host", "segs", "template", "n", "known", "bad"), "url-templates")
 
-    # merge branches that do not differ from their parent, from the deepest level up
-    tree = paths.groupBy(F.col("host"), F.col("template").alias("own")).agg(F.sum("known").alias("known"), F.sum("bad").alias("bad")).withColumn("merged", F.col("own"))
+    # branches that do not differ from their parent become one, from the deepest level up
+    tree = (paths.groupBy("host", F.col("template").alias("own")).agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
+            .withColumn("m", F.when(F.col("own") == "", F.array().cast("array<string>")).otherwise(F.split("own", "/"))))
     for k in range(depth + 1, 0, -1):
-        at = F.size(F.split("merged", "/")) == k
-        parent = F.when(at & (F.col("merged") != ""), F.array_join(F.slice(F.split("merged", "/"), 1, k - 1), "/")).otherwise(F.lit(None))
-        leveled = tree.withColumn("up", parent)
-        branch = leveled.where(F.col("up").isNotNull()).groupBy("host", "up", "merged").agg(F.sum("known").alias("bk"), F.sum("bad").alias("bb"))
+        deep = F.size("m") >= k
+        up, seg = F.when(deep, F.array_join(F.slice("m", 1, k - 1), "/")).alias("up"), F.when(deep, F.try_element_at("m", F.lit(k))).alias("seg")
+        branch = tree.where(deep).groupBy("host", up, seg).agg(F.sum("known").alias("bk"), F.sum("bad").alias("bb"))
         whole = branch.groupBy("host", "up").agg(F.sum("bk").alias("pk"), F.sum("bb").alias("pb"))
         rate, share = F.col("bb") / F.col("bk"), F.col("pb") / F.col("pk")
         error = F.sqrt(share * (1 - share) * (1 / F.col("bk") - 1 / F.col("pk")))
         alike = (F.col("bk") == 0) | (F.abs(rate - share) <= z * error) | (F.col("bk") == F.col("pk"))
-        last = F.element_at(F.split("merged", "/"), -1)
-        joined = (branch.join(whole, ["host", "up"]).where(alike & (last != "*"))
-                  .select("host", "merged", F.when(F.col("up") == "", "*").otherwise(F.concat("up", F.lit("/*"))).alias("to")))
-        tree = (tree.join(joined, ["host", "merged"], "left").withColumn("merged", F.coalesce("to", "merged")).drop("to"))
+        joined = branch.join(whole, ["host", "up"]).where(alike & (F.col("seg") != "*")).select("host", "up", "seg", F.lit(True).alias("joins"))
+        wider = F.transform("m", lambda s, i: F.when(i == k - 1, "*").otherwise(s))
+        tree = (tree.withColumns({"up": up, "seg": seg}).join(joined, ["host", "up", "seg"], "left")
+                .withColumn("m", F.when(F.col("joins"), wider).otherwise(F.col("m"))).drop("up", "seg", "joins"))
         if k % 3 == 1:
             tree = materialize(tree, "url-tree")
 
-    # purity, smoothed towards the host's and the corpus's share
+    # purity, smoothed from the corpus and the host down the tree
     total = tree.agg(F.sum("known").alias("known"), F.sum("bad").alias("bad")).first()
     corpus = (total["bad"] or 0) / (prior_weight + (total["known"] or 0))
-    hosts = tree.groupBy("host").agg(((F.sum("bad") + corpus_weight * F.lit(corpus)) / (F.sum("known") + corpus_weight)).alias("host_share"))
-    leaves = (tree.groupBy("host", "merged").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad")).join(hosts, "host")
-              .select("host", "merged", ((F.col("bad") + host_weight * F.col("host_share")) / (F.col("known") + host_weight)).alias("purity")))
-    decided = materialize(paths.join(tree.select("host", F.col("own").alias("template"), "merged"), ["host", "template"])
-                          .join(leaves, ["host", "merged"]).select("host", "segs", F.col("merged").alias("template"), "purity"), "url-verdicts")
+    hosts = tree.groupBy("host").agg(((F.sum("bad") + corpus_weight * F.lit(corpus)) / (F.sum("known") + corpus_weight)).alias("purity"), F.count("*").alias("n"))
+    tree = join_hot(tree, hosts, "host", "n")
+    for k in range(1, depth + 2):
+        prefix = F.when(F.size("m") >= k, F.array_join(F.slice("m", 1, k), "/"))
+        tree = tree.withColumn("prefix", prefix)
+        sums = tree.where("prefix is not null").groupBy("host", "prefix").agg(F.sum("known").alias("pk"), F.sum("bad").alias("pb"))
+        own = (F.col("pb") + host_weight * F.col("purity")) / (F.col("pk") + host_weight)
+        tree = tree.join(sums, ["host", "prefix"], "left").withColumn("purity", F.when(F.col("prefix").isNotNull(), own).otherwise(F.col("purity"))).drop("prefix", "pk", "pb")
+        if k % 3 == 0:
+            tree = materialize(tree, "url-purity")
+    named = tree.select("host", F.col("own").alias("template"), F.array_join("m", "/").alias("merged"), "purity")
+    decided = materialize(paths.join(named, ["host", "template"]).select("host", "segs", "n", F.col("merged").alias("template"), "purity"), "url-verdicts")
     verdict = F.coalesce("given", F.when(F.col("purity") >= threshold, "block").otherwise("allow"))
-    return (base.withColumn("segs", segs).join(decided, ["host", "segs"], "left")
-            .select(F.col(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", F.coalesce("purity", F.lit(0.0)).alias("purity")))
+    return (join_hot(base.withColumn("segs", segs), decided, ["host", "segs"], "n")
+            .select(F.col(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", "purity"))

@@ -145,3 +145,86 @@ def test_url_templates_follow_labels(spark):
     got = urls.judge_urls(spark.createDataFrame(rows + [(900, "http://x.com/spam/777"), (901, "http://x.com/ok/777"), (902, "http://y.com/other")], "page_id long, url string"), rules).where("page_id >= 900")
     by = {r.page_id: (r.template, r.verdict, r.rule) for r in got.collect()}
     assert by[900] == ("spam/*", "block", None) and by[901] == ("ok/*", "allow", None) and by[902][1] == "allow"
+
+
+def slow_urls(rows, rules, depth=6, least=20, share=0.5, z=1.96, w=4.0):
+    """The template tree in plain Python: (host, path, rule, verdict, template, purity) of each url."""
+    import re
+    out, paths = [], {}
+    for url in rows:
+        m = re.match(r"(?s)(.*?)://([^/?#]*)([^?#]*)", url or "")
+        host, path = ("".join(c.lower() if "A" <= c <= "Z" else c for c in m[2]), m[3]) if m else ("", "")
+        fits = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+        best = max(fits, key=lambda r: (len(r[1]) + len(r[2]), len(r[1]), r[1:]), default=None)
+        segs = []
+        for seg in filter(None, path.split("/")):
+            stem = re.sub(r"\.[A-Za-z]{1,5}$", "", seg)
+            segs.append("*" if re.fullmatch("[0-9]+", stem) or re.fullmatch("[0-9a-fA-F-]{8,}", stem) and re.search("[0-9]", stem) or len(seg) > 40 else seg)
+        segs = tuple(segs[:depth] + ["**"] * (len(segs) > depth))
+        out.append((host, path, best, segs))
+        a = paths.setdefault((host, segs), [0, 0, 0])
+        a[0] += 1
+        a[1] += best is not None
+        a[2] += best is not None and best[0] == "block"
+    kids = {}
+    for (host, segs), a in paths.items():
+        for k, seg in enumerate(segs):
+            kids.setdefault((host, segs[:k]), {}).setdefault(seg, []).append(a[0])
+    wild = {key for key, c in kids.items() if sum(map(sum, c.values())) >= least and len(c) >= share * sum(map(sum, c.values()))}
+    name = {key: tuple("*" if (key[0], key[1][:k]) in wild else s for k, s in enumerate(key[1])) for key in paths}
+    tree = {}
+    for key, a in paths.items():
+        t = tree.setdefault((key[0], name[key]), [0, 0])
+        t[0] += a[1]
+        t[1] += a[2]
+    now = {key: key[1] for key in tree}
+    for k in range(depth + 1, 0, -1):
+        branch = {}
+        for key, m in now.items():
+            if len(m) >= k:
+                b = branch.setdefault((key[0], m[:k]), [0, 0])
+                b[0] += tree[key][0]
+                b[1] += tree[key][1]
+        whole = {}
+        for (host, m), (known, bad) in branch.items():
+            p = whole.setdefault((host, m[:-1]), [0, 0])
+            p[0] += known
+            p[1] += bad
+        alike = set()
+        for (host, m), (known, bad) in branch.items():
+            pk, pb = whole[host, m[:-1]]
+            if m[-1] != "*" and (known == 0 or known == pk or abs(bad / known - pb / pk) <= z * (pb / pk * (1 - pb / pk) * (1 / known - 1 / pk)) ** 0.5):
+                alike.add((host, m))
+        now = {key: m[:k - 1] + ("*",) + m[k:] if len(m) >= k and (key[0], m[:k]) in alike else m for key, m in now.items()}
+    known, bad = (sum(t[x] for t in tree.values()) for x in (0, 1))
+    corpus, purity = bad / (2.0 + known), {}
+    for key, m in now.items():
+        sums = lambda k: [sum(tree[o][x] for o, n in now.items() if o[0] == key[0] and len(n) >= k and n[:k] == m[:k]) for x in (0, 1)]
+        kn, b = sums(0)
+        p = (b + w * corpus) / (kn + w)
+        for k in range(1, len(m) + 1):
+            kn, b = sums(k)
+            p = (b + w * p) / (kn + w)
+        purity[key] = p
+    done = []
+    for host, path, best, segs in out:
+        key = (host, name[host, segs])
+        done.append((host, path, best and best[1] + best[2], best[0] if best else "block" if purity[key] >= 0.5 else "allow", "/".join(now[key]), purity[key]))
+    return done
+
+
+def test_url_tree_against_plain_python(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url").collect()
+    rnd = __import__("random").Random(4)
+    urls_ = [r.url for r in table] + [None, "none", "http://h", "x://y/" + "a/" * 50, "x://y/" + "b" * 5_000] + ["http://hot.net/same"] * 400
+    for k in range(600):
+        part = rnd.choice(["en", "de"]) + "/" + rnd.choice(["news", "sport", "shop"])
+        urls_.append(f"http://{rnd.choice(['a.example.com', 'b.org', 'c.test'])}/{part}/{rnd.choice(['x', 'y', str(k), f'item{k}'])}")
+    frame = spark.createDataFrame([(k, u) for k, u in enumerate(urls_)], "page_id long, url string")
+    rules = [*registry.URL_RULES, ("block", "c.test", "/en/shop/")]
+    got = {r.page_id: r for r in urls.judge_urls(frame, rules).collect()}
+    for k, (host, path, rule, verdict, template, purity) in enumerate(slow_urls(urls_, rules)):
+        r = got[k]
+        assert (r.host, r.path, r.rule, r.template) == (host, path, rule, template) and abs(r.purity - purity) < 1e-9, (urls_[k], r, template, purity)
+        assert r.verdict == verdict or abs(purity - 0.5) < 1e-9
+    assert len(got) == len(urls_)
