@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,16 +33,33 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+_made: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete, at its end, what ``materialize`` wrote meanwhile, but for what it was told to keep; for work whose result is written by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for df in _made.pop():
+            discard(df)
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation.
+    Cuts the lineage: a lost executor costs a re-read, not a recomputation. A
+    ``scratch`` around it leaves what is to ``keep``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if _made and not keep:
+        _made[-1].append(out)
     return out
 
 

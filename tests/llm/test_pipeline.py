@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tapeloom.llm import registry, toxicity
-from tapeloom.llm.common import crc_fold, materialize
+from tapeloom.llm.common import crc_fold, materialize, scratch
 from tests.llm.helpers import DIR
 from tests.llm.test_near_copies import slow_groups
 from tests.llm.test_text_ops import brute_found
@@ -51,3 +51,12 @@ def test_stages_against_brute_force(spark):
 def test_all_queries_are_registered():
     assert sorted(registry.queries(), key=lambda n: int(re.match(r"op(\d+)_", n)[1])) == [n for n in registry._QUERIES]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    import os
+
+    with scratch():
+        first = materialize(spark.range(5), "a")
+        kept = materialize(first.withColumn("x", F.lit(1)), "b", keep=True)
+    assert not os.path.exists(first.written_to.removeprefix("file:")) and kept.count() == 5
