@@ -11,9 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries a per-worker word cache may hold before it starts afresh, and the longest word that it keeps.
-CACHE_ENTRIES = 300_000
-CACHED_CHARS = 64
+#: Bytes that a per-worker cache may hold before it starts afresh, the longest key that it keeps, and an entry's bytes beside its key.
+CACHE_BYTES, CACHED_CHARS, ENTRY_BYTES = 32 << 20, 48, 180
 U64 = (1 << 64) - 1
 
 
@@ -93,19 +92,48 @@ def in_fold(id_col: str, n: int, k: int) -> Column:
     return F.coalesce(crc_fold(id_col, n) == k, F.lit(False))
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, computed once per worker for words that recur."""
+class WorkerCache(dict):
+    """What a Python worker remembers for one operator; forgotten as soon as another operator's cache takes something in.
+
+    Workers go from stage to stage, so caches that stayed would add up.
+    """
 
-    def __init__(self, seed: int):
+    _all: list[WorkerCache] = []
+    _owner = ""
+
+    def __init__(self, owner: str, most: int = CACHE_BYTES):
         super().__init__()
+        self.owner, self.most, self.held = owner, most, 0
+        self._all.append(self)
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
+    def remember(self, key: str, value) -> None:
+        if len(key) > CACHED_CHARS:
+            return
+        if WorkerCache._owner != self.owner:
+            WorkerCache._owner = self.owner
+            for other in self._all:
+                if other.owner != self.owner:
+                    other.clear()
+        if self.held > self.most:
+            self.clear()
+        self[key] = value
+        self.held += len(key) + ENTRY_BYTES
+
+
+class WordHashes(WorkerCache):
+    """word -> 64-bit hash, computed once per worker for words that recur."""
+
+    def __init__(self, owner: str, seed: int):
+        super().__init__(owner)
         self.seed = seed
 
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed)
-        if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[word] = value
+        self.remember(word, value)
         return value
 
 

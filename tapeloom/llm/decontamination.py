@@ -33,7 +33,7 @@ from tapeloom.llm.common import WordHashes, fresh, materialize
 #: Characters of scripts that put no spaces between words: each is a word.
 _SINGLE = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003134f"
 WORD = re.compile(rf"[{_SINGLE}]|[^\W{_SINGLE}]+")
-_HASHES = WordHashes(seed=9)
+_HASHES = WordHashes("decontamination", seed=9)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bits of the filter for each seed of the benchmark, and at least and at most.

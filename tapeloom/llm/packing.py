@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.llm.common import WorkerCache
 
 WINDOW = 2048
 #: Pieces that best-fit decreasing sees at once, in each task.
@@ -33,8 +34,6 @@ POOL = 16_384
 FULL_ENOUGH = 0.97
 _SPACE_THEN = re.compile(r" (?:\s|\Z)")
 _JOINED_SPACE = re.compile(r"\s (?:\s|\Z)")
-#: Characters of the pieces that a worker remembers before it starts afresh, and of the longest of them.
-CACHE_CHARS, CACHED_PIECE = 8_000_000, 48
 #: The pre-tokens of byte-level BPE (fixed by the vocabulary file's pre-tokenizer).
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
@@ -78,21 +77,16 @@ def ranks_tell_merges(path: str) -> bool:
     return True
 
 
-class _Known(dict):
+class _Known(WorkerCache):
     """Piece between spaces -> its ids as bytes, encoded when first asked for; short ones are remembered."""
 
     def __init__(self, encode, lead: str):
-        super().__init__()
-        self.encode, self.lead, self.chars = encode, lead, 0
+        super().__init__("packing")
+        self.encode, self.lead = encode, lead
 
     def __missing__(self, piece: str) -> bytes:
         value = self.encode(self.lead + piece)
-        if len(piece) <= CACHED_PIECE:
-            if self.chars > CACHE_CHARS:
-                self.clear()
-                self.chars = 0
-            self[piece] = value
-            self.chars += len(piece) + 1
+        self.remember(piece, value)
         return value
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import WordHashes, fresh
 
 WORD = re.compile(r"\w+")
-_HASHES = WordHashes(seed=5)
+_HASHES = WordHashes("toxicity", seed=5)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 
 

@@ -162,7 +162,9 @@ def test_long_pieces_are_not_remembered(spark):
     slow = packing.Encoder(registry.byte_bpe_path(), False)
     assert enc.encode([han[:5_000], han]) == [slow.whole(han[:5_000]), enc.whole(han)] and not enc.first
     enc.encode([" ".join(f"w{k}" for k in range(10_000))])
-    assert len(enc.after_space) == 9_999 and enc.after_space.chars < 100_000
+    assert len(enc.after_space) == 9_999 and enc.after_space.held < 9_999 * 200
+    decontamination.word_hashes("another operator takes the worker over")
+    assert not enc.after_space
 
 
 def test_ranks_are_not_trusted_without_proof(tmp_path):
