@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeloom.operators.kernels import latest_per_key
+from tapeloom.operators.kernels import asof, latest_per_key, spare
 
 
 def map_columns(df: DataFrame, copies: dict[str, str], renames: dict[str, str]) -> DataFrame:
@@ -167,3 +167,48 @@ def second_latest(df: DataFrame, day: str = "day") -> DataFrame:
 
 def unique_names(df: DataFrame) -> bool:
     return len({c.lower() for c in df.columns}) == len(df.columns)
+
+
+def repaired_days(change_log: DataFrame, last_sync, table: str, time: str = "changed_at") -> DataFrame:
+    """The distinct days of ``table`` that a change log (table_name, day, changed_at) names after the last sync."""
+    return change_log.where((F.col("table_name") == table) & (F.col(time) > F.lit(last_sync).cast("timestamp"))).select("day").distinct()
+
+
+def apply_corrections(current: DataFrame, pulled: DataFrame, days: DataFrame, day: str = "day") -> DataFrame:
+    """``current`` with its rows of the repaired ``days`` replaced by those of ``pulled``; running it twice changes nothing."""
+    named = days.select(F.col("day").alias(day)).distinct()
+    return current.join(named, day, "left_anti").unionByName(pulled.join(named, day, "left_semi").select(*current.columns))
+
+
+def pending_ranges(missed: DataFrame, table: str, reason: str = "filtered") -> DataFrame:
+    """(table_name, code, range_start, range_end, days, status, reason): runs of consecutive days of rows left out, to be filled later."""
+    w = Window.partitionBy("code").orderBy("day")
+    runs = (missed.where(F.col("code").isNotNull() & F.col("day").isNotNull()).select("code", "day").distinct()
+            .withColumn("run", F.date_sub("day", F.row_number().over(w))))
+    return (runs.groupBy("code", "run").agg(F.min("day").alias("range_start"), F.max("day").alias("range_end"), F.count("*").alias("days"))
+            .select(F.lit(table).alias("table_name"), "code", "range_start", "range_end", "days", F.lit("pending").alias("status"), F.lit(reason).alias("reason")))
+
+
+def merge_pending(ledger: DataFrame, found: DataFrame, reopen: bool = False) -> DataFrame:
+    """The ledger with new ranges added; one that is resolved stays so unless ``reopen``."""
+    key = ["table_name", "code", "range_start", "range_end"]
+    fresh = found.join(ledger.select(*key), key, "left_anti")
+    kept = ledger
+    if reopen:
+        again = found.select(*key, F.lit(True).alias("again")).distinct()
+        kept = ledger.join(again, key, "left").withColumn("status", F.when(F.col("again"), "pending").otherwise(F.col("status"))).select(*ledger.columns)
+    return kept.unionByName(fresh.select(*ledger.columns))
+
+
+def deferred_watermark(watermarks: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(table_name, last_date, safe_date): a table's watermark, held back to the day before its first pending range."""
+    first = ledger.where(F.col("status") == "pending").groupBy("table_name").agg(F.min("range_start").alias("first"))
+    return watermarks.join(first, "table_name", "left").select("table_name", "last_date", F.least("last_date", F.date_sub("first", 1)).alias("safe_date"))
+
+
+def rows_to_rerun(source: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Rows of ``source`` (code, day) inside a pending range (R5). A code's ranges are disjoint, so the last that began decides."""
+    (until,) = spare(source.columns, "_until")
+    open_ = ledger.where(F.col("status") == "pending").select("code", F.col("range_start").alias("since"), F.col("range_end").alias(until))
+    met = asof(source, open_, ["code"], "day", "since", [until])
+    return met.where(F.col("day") <= F.col(until)).drop(until)

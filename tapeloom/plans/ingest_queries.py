@@ -139,3 +139,47 @@ def r_sessions(spark: S, d: str) -> DataFrame:
 def r7(spark: S, d: str) -> DataFrame:
     bars = R.bars_from_ticks(ticks(spark, d))
     return G.previous_trading_day_filter(bars, F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"), "end").select("code", "start")
+
+
+# late corrections and ranges to fill: bars of codes ending in 3 or 7 are left out on days of the first half of a month
+
+_MISSED = f"SELECT code, day FROM ({BARS}) WHERE substr(code, 6) IN ('3', '7') AND dayofmonth(day) <= 15"
+
+
+def _missed(spark: S, d: str) -> DataFrame:
+    return daily_bars(spark, d).where(F.substring("code", 6, 1).isin("3", "7") & (F.dayofmonth("day") <= 15)).select("code", "day")
+
+
+@query("r3_apply_corrections", f"""WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 4 = 1 AND o_orderpriority LIKE '1%')
+SELECT code, day, CASE WHEN day IN (SELECT day FROM days) THEN volume * 2 ELSE volume END AS volume FROM ({BARS})""")
+def r3(spark: S, d: str) -> DataFrame:
+    bars = daily_bars(spark, d).select("code", "day", "volume")
+    log = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 4 == 1, "daily").otherwise("minute").alias("table_name"), F.col("o_orderdate").cast("date").alias("day"),
+                                           F.when(F.col("o_orderpriority").startswith("1"), F.timestamp_seconds(F.lit(200))).otherwise(F.timestamp_seconds(F.lit(100))).alias("changed_at"))
+    days = G.repaired_days(log, "1970-01-01 00:02:30", "daily")
+    return G.apply_corrections(bars, bars.withColumn("volume", F.col("volume") * 2), days)
+
+
+_RANGES = f"""SELECT code, min(day) AS range_start, max(day) AS range_end, count(*) AS days FROM (SELECT code, day, day - row_number() OVER (PARTITION BY code ORDER BY day)::INTEGER AS run FROM ({_MISSED})) GROUP BY code, run"""
+
+
+@query("r5_pending_ranges", f"SELECT 'daily' AS table_name, code, range_start, range_end, days, 'pending' AS status, 'filtered' AS reason FROM ({_RANGES})")
+def r5(spark: S, d: str) -> DataFrame:
+    return G.pending_ranges(_missed(spark, d), "daily")
+
+
+def _ledger(spark: S, d: str) -> DataFrame:
+    """Ranges of an odd number of days are resolved; finding them again does not open them."""
+    found = G.pending_ranges(_missed(spark, d), "daily")
+    return G.merge_pending(found.withColumn("status", F.when(F.col("days") % 2 == 1, "resolved").otherwise("pending")), found)
+
+
+@query("r5_rerun_rows", f"SELECT b.code, b.day, b.volume FROM ({BARS}) b JOIN ({_RANGES}) r ON b.code = r.code AND b.day BETWEEN r.range_start AND r.range_end WHERE r.days % 2 = 0")
+def r5b(spark: S, d: str) -> DataFrame:
+    return G.rows_to_rerun(daily_bars(spark, d).select("code", "day", "volume"), _ledger(spark, d))
+
+
+@query("r5_deferred_watermark", f"SELECT 'daily' AS table_name, max(day) AS last_date, least(max(day), (SELECT min(range_start) - 1 FROM ({_RANGES}) WHERE days % 2 = 0)) AS safe_date FROM ({BARS})")
+def r5c(spark: S, d: str) -> DataFrame:
+    marks = daily_bars(spark, d).agg(F.max("day").alias("last_date")).select(F.lit("daily").alias("table_name"), "last_date")
+    return G.deferred_watermark(marks, _ledger(spark, d))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.operators.ingest import second_latest
@@ -33,3 +33,62 @@ def write_result(df: DataFrame, path: str, kind: str = "csv") -> None:
     """Results for people: CSV with a header, or JSON lines."""
     writer = df.write.mode("overwrite")
     writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _swap(spark: SparkSession, staged: str, path: str) -> None:
+    """Put a staged folder in the place of ``path``; the old one goes only once it has been moved aside."""
+    fs, new = _files(spark, staged)
+    old, aside = _files(spark, path)[1], _files(spark, f"{path.rstrip('/')}-old")[1]
+    fs.delete(aside, True)
+    if fs.exists(old):
+        fs.rename(old, aside)
+    if not fs.rename(new, old):
+        raise OSError(f"could not put {staged} in place of {path}")
+    fs.delete(aside, True)
+
+
+def overwrite_table(df: DataFrame, path: str) -> None:
+    """Replace a whole table, schema and all, by ``df``, which may read it: readers see the old table or the new one."""
+    staged = f"{path.rstrip('/')}-staged"
+    df.write.mode("overwrite").parquet(staged)
+    _swap(df.sparkSession, staged, path)
+
+
+def overwrite_in_chunks(df: DataFrame, path: str, chunk: Column, resume: bool = True) -> dict[str, int]:
+    """``overwrite_table`` chunk by chunk, taken up again where a run broke off.
+
+    ``chunk`` names each row's chunk; there should be few, such as months. A
+    chunk is done when its folder and its row in the ledger stand; rows in the
+    ledger that differ in number from the staged ones start everything afresh.
+    Returns how many chunks there are, were done before, and rows.
+    """
+    spark, staged = df.sparkSession, f"{path.rstrip('/')}-staged"
+    ledger, mark = f"{path.rstrip('/')}-ledger", "chunk_"
+    fs, folder = _files(spark, staged)
+    book = _files(spark, ledger)[1]
+    named = df.withColumn(mark, F.coalesce(chunk.cast("string"), F.lit("null")))
+    done: dict[str, int] = {}
+    if resume and fs.exists(folder) and fs.exists(book):
+        done = {r["key"]: r["n"] for r in spark.read.parquet(ledger).collect()}
+        there = {str(r[mark]): r["count"] for r in spark.read.option("basePath", staged).schema(named.schema).parquet(staged).groupBy(mark).count().collect()}
+        if any(there.get(k) != n for k, n in done.items()):
+            done = {}
+    if not done:
+        fs.delete(folder, True)
+        fs.delete(book, True)
+    keys = sorted(r[mark] for r in named.select(mark).distinct().collect())
+    before = len(done)
+    for key in keys:
+        if key not in done:
+            write_partitions(named.where(F.col(mark) == key), staged, mark)
+            n = spark.read.schema(named.schema).parquet(staged).where(F.col(mark) == key).count()
+            spark.createDataFrame([(key, n)], "key string, n long").coalesce(1).write.mode("append").parquet(ledger)
+            done[key] = n
+    _swap(spark, staged, path)
+    fs.delete(book, True)
+    return {"chunks": len(keys), "resumed": before, "rows": sum(done.values())}

@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tapeloom.operators import ingest
 from tapeloom.sources import export
 
 
@@ -34,3 +35,39 @@ def test_results_as_text(spark, tmp_path):
     export.write_result(bars(spark), str(tmp_path / "c"))
     export.write_result(bars(spark), str(tmp_path / "j"), "json")
     assert spark.read.csv(str(tmp_path / "c"), header=True).count() == spark.read.json(str(tmp_path / "j")).count() == 15
+
+
+def test_a_table_is_replaced_by_what_reads_it(spark, tmp_path):
+    path = str(tmp_path / "t")
+    export.overwrite_table(bars(spark), path)
+    export.overwrite_table(spark.read.parquet(path).select("code", F.lit("new").alias("note")), path)
+    got = spark.read.parquet(path)
+    assert got.columns == ["code", "note"] and got.count() == 15 and not (tmp_path / "t-staged").exists() and not (tmp_path / "t-old").exists()
+
+
+def test_chunks_resume_where_a_run_broke_off(spark, tmp_path, monkeypatch):
+    path, df, day = str(tmp_path / "t"), bars(spark), F.date_format("day", "yyyyMMdd")
+    write, calls = export.write_partitions, []
+
+    def breaks(frame, where, by):
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        calls.append(by)
+        write(frame, where, by)
+
+    monkeypatch.setattr(export, "write_partitions", breaks)
+    try:
+        export.overwrite_in_chunks(df, path, day)
+    except RuntimeError:
+        pass
+    monkeypatch.setattr(export, "write_partitions", write)
+    assert export.overwrite_in_chunks(df, path, day) == {"chunks": 5, "resumed": 2, "rows": 15}
+    assert sorted(map(tuple, spark.read.parquet(path).select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
+    assert export.overwrite_in_chunks(df.limit(3), path, day)["resumed"] == 0
+
+
+def test_pending_ranges_open_again_only_when_told(spark):
+    found = ingest.pending_ranges(bars(spark), "daily")
+    resolved = found.withColumn("status", F.lit("resolved"))
+    assert ingest.merge_pending(resolved, found).where("status = 'pending'").count() == 0
+    assert ingest.merge_pending(resolved, found, reopen=True).where("status = 'pending'").count() == 3 == found.count()
