@@ -100,6 +100,21 @@ def range_agg(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
     return both.select("*", *values).where(mine).select(*left.columns, *aggregates)
 
 
+def lookup(df: DataFrame, dimension: DataFrame, on: Sequence[str], columns: Sequence[str], most_rows: int = 100_000) -> DataFrame:
+    """LEFT join of a dimension's ``columns``; one row per key, the greatest of several; null keys match nothing.
+
+    The dimension is broadcast if it is counted at no more than ``most_rows``
+    rows, else joined by shuffling.
+    """
+    held, r = spare([*df.columns, *dimension.columns], "_d", "_r")
+    one = _keyed(dimension, *on).groupBy(*on).agg(F.max(F.struct(*columns)).alias(r))
+    small = one.limit(most_rows + 1).count() <= most_rows
+    kept = df.withColumn(held, F.struct(*[F.col(c).alias(f"k{k}") for k, c in enumerate(on)]))
+    keyed = one.select(F.struct(*[F.col(c).alias(f"k{k}") for k, c in enumerate(on)]).alias(held), r)
+    out = kept.join(F.broadcast(keyed) if small else keyed, held, "left")
+    return out.select(*df.columns, *[F.col(f"{r}.{c}").alias(c) for c in columns])
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """The row with the greatest ``order`` of each key, in one aggregation."""
     columns = [c for c in (columns or df.columns) if c not in keys]

@@ -10,7 +10,7 @@ from tapeloom.operators import bars as B
 from tapeloom.operators import kernels as K
 from tapeloom.operators.calendar import next_trading_day
 from tapeloom.plans.base import BY_CODE, lag, over, query, rolled, round_sql, rounded, stages
-from tapeloom.sources.testmap import BARS, FACTORS, REPORTS, TICKS, daily_bars, factors, reports, ticks
+from tapeloom.sources.testmap import BARS, FACTORS, REPORTS, TICKS, code_of, daily_bars, factors, reports, table, ticks
 
 S = SparkSession
 
@@ -336,3 +336,11 @@ def momentum_top5(spark: S, d: str) -> DataFrame:
     w = Window.partitionBy("day").orderBy(F.desc("mom"), "code")
     ranked = df.withColumn("pct", K.percent_rank_average(F.col("mom"), ["day"])).withColumn("rank", F.row_number().over(w)).where("rank <= 5")
     return ranked.select("code", "day", F.round("close", 4).alias("close"), F.round("ma20", 4).alias("ma20"), F.round("pct", 6).alias("pct"), "rank")
+
+
+@query("j16_dimension_lookup", f"""SELECT code, day, volume, s_nationkey AS nation, n_name AS name FROM ({BARS}) b LEFT JOIN supplier ON code = lpad(CAST(s_suppkey AS VARCHAR), 6, '0') LEFT JOIN nation ON s_nationkey = n_nationkey""")
+def j16(spark: S, d: str) -> DataFrame:
+    sectors = table(spark, d, "supplier").select(code_of(F.col("s_suppkey")).alias("code"), F.col("s_nationkey").alias("nation"))
+    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("name"))
+    bars = daily_bars(spark, d).select("code", "day", "volume")
+    return K.lookup(K.lookup(bars, sectors, ["code"], ["nation"]), names, ["nation"], ["name"])

@@ -102,3 +102,10 @@ def test_range_agg_leaves_null_keys_and_times_apart(spark):
     right = spark.createDataFrame([("a", 4, 1.0), ("a", None, 99.0), (None, 5, 7.0)], "code string, u int, x double")
     got = {r["_v"]: (r.m, r.n) for r in kernels.range_agg(left, right, ["code"], "t", "u", 2, 0, m=("x", F.max), n=("x", F.count)).collect()}
     assert got == {1: (1.0, 1), 2: (None, 0), 3: (None, 0)}
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_lookup_by_either_join(spark, most):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("z", 4)], "code string, _d int")
+    names = spark.createDataFrame([("a", "A1"), ("a", "A2"), ("b", "B"), (None, "none")], "code string, name string")
+    assert sorted((r["_d"], r.name) for r in kernels.lookup(rows, names, ["code"], ["name"], most).collect()) == [(1, "A2"), (2, "B"), (3, None), (4, None)]
