@@ -41,8 +41,8 @@ def ordered(rows):
 
 
 def alike(a, b):
-    """Equal, numbers to half a millionth of themselves: both sides may round a half either way."""
-    return a == b or isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, rel_tol=5e-7, abs_tol=1e-9)
+    """Equal, numbers to a millionth of themselves: both sides may round a half either way."""
+    return a == b or isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-9)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
