@@ -110,6 +110,14 @@ class WorkerCache(dict):
         super().clear()
         self.held = 0
 
+    def shrink(self) -> None:
+        """Drop the long keys, which hardly recur; all, if that does not make room."""
+        for key in [k for k in self if len(k) > 7]:
+            del self[key]
+            self.held -= len(key) + ENTRY_BYTES
+        if self.held > self.most // 2:
+            self.clear()
+
     def remember(self, key: str, value) -> None:
         if len(key) > CACHED_CHARS:
             return
@@ -119,7 +127,7 @@ class WorkerCache(dict):
                 if other.owner != self.owner:
                     other.clear()
         if self.held > self.most:
-            self.clear()
+            self.shrink()
         self[key] = value
         self.held += len(key) + ENTRY_BYTES
 

@@ -81,7 +81,7 @@ class _Known(WorkerCache):
     """Piece between spaces -> its ids as bytes, encoded when first asked for; short ones are remembered."""
 
     def __init__(self, encode, lead: str):
-        super().__init__("packing")
+        super().__init__("packing", 72 << 20)
         self.encode, self.lead = encode, lead
 
     def __missing__(self, piece: str) -> bytes:
