@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions.session import ship_package
-from tapeloom.llm import chat, decontamination, html_text, langid, neighbours, packing, secrets, simhash, toxicity, urls
+from tapeloom.llm import chat, decontamination, html_text, langid, neighbours, packing, quality, secrets, simhash, toxicity, urls
 from tapeloom.llm.common import crc_fold, in_fold
 
 #: Bytes handed to a Python worker at once (or one longer row); bounds its memory for long texts.
@@ -97,6 +97,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back_turns(chat.format_turns(rows.unionByName(extra)))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(read(spark, sf_dir, "documents"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
@@ -108,6 +112,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 def secrets_sql() -> str:
@@ -143,6 +148,34 @@ FROM docs d LEFT JOIN found f USING (rid)
 """
 
 
+def quality_sql() -> str:
+    """op13 in SQL: windows as rows, host rates by the same moments."""
+    rules = {"base": "base_failed", "symbols": "10 * n_symbols > word_chars", "lines": "10 * n_dup_lines > 3 * n_lines"}
+    sums = ", ".join(f"CAST(sum(CAST({x} AS INT)) AS DOUBLE) AS {r}" for r, x in rules.items())
+    moments = ", ".join(f"""sum({r}) / sum(texts) AS m_{r}, CASE WHEN sum(texts) - sum(texts * texts) / sum(texts) > 0 THEN
+  (sum({r} * {r} / texts) - sum({r}) * (sum({r}) / sum(texts)) - (count(*) - 1) * (sum({r}) / sum(texts)) * (1 - sum({r}) / sum(texts)))
+  / (sum(texts) - sum(texts * texts) / sum(texts)) ELSE 0 END AS v_{r}""" for r in rules)
+    strength = ", ".join(f"m_{r} AS mean_{r}, CASE WHEN v_{r} > 0 THEN greatest({quality.LOOSEST}, least({quality.FIRMEST}, m_{r} * (1 - m_{r}) / v_{r} - 1)) ELSE {quality.FIRMEST} END AS s_{r}" for r in rules)
+    rates = ", ".join(f"({r} + mean_{r} * s_{r} + 0.5) / (texts + s_{r} + 1)" for r in rules)
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, chr(1)) AS host FROM documents),
+split AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+  list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM docs),
+windows AS (SELECT rid, i, array_to_string(words[i:i + 4], ' ') AS w FROM (SELECT rid, words, unnest(range(1, greatest(len(words) - 3, 1))) AS i FROM split)),
+marked AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS n FROM windows),
+covered AS (SELECT rid, sum(least(5, coalesce(nxt - i, 5))) AS words FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM marked WHERE n > 1) GROUP BY rid),
+measured AS (SELECT doc_id, host, len(s.words) AS n_words, CAST(length(array_to_string(s.words, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
+  CAST(coalesce(c.words, 0) AS BIGINT) AS n_repeat_words FROM split s LEFT JOIN covered c USING (rid)),
+judged AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured),
+hosts AS (SELECT host, CAST(count(*) AS DOUBLE) AS texts, {sums} FROM judged GROUP BY host),
+firm AS (SELECT {strength} FROM (SELECT {moments} FROM hosts)),
+verdicts AS (SELECT host, greatest({rates}) > 0.5 AS rejected FROM hosts, firm)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept, rejected AS host_rejected
+FROM judged JOIN verdicts USING (host)
+"""
+
+
 #: DuckDB SQL for the operators that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op10_chat": r"""
@@ -163,6 +196,7 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """,
     "op3_secret_scan": secrets_sql(),
+    "op13_quality_rules": quality_sql(),
 }
 
 
