@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions.session import ship_package
-from tapeloom.llm import chat, decontamination, html_text, langid, neighbours, packing, quality, secrets, simhash, toxicity, urls
+from tapeloom.llm import chat, decontamination, html_text, langid, neighbours, packing, periodic, quality, secrets, simhash, toxicity, urls
 from tapeloom.llm.common import crc_fold, in_fold
 
 #: Bytes handed to a Python worker at once (or one longer row); bounds its memory for long texts.
@@ -97,6 +97,15 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back_turns(chat.format_turns(rows.unionByName(extra)))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = periodic.find_runs(read(spark, sf_dir, "documents"), "doc_id", periodic.plant_period(F.col("text"), seed))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "strongest.start", "strongest.length", "strongest.period",
+                        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+                        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(read(spark, sf_dir, "documents"))
 
@@ -112,6 +121,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_quality_rules": op13_quality_rules,
 }
 
