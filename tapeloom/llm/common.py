@@ -69,8 +69,8 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], rows: str) -> DataFrame:
-    """Inner join on ``key``, unique in ``right``, which tells in ``rows`` how many rows of ``left`` hold it.
+def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], rows: str, how: str = "inner") -> DataFrame:
+    """Inner (or left) join on ``key``, unique in ``right``, which tells in ``rows`` how many rows of ``left`` hold it.
 
     Keys of over a thousandth of those rows, of which there are fewer than a
     thousand, are broadcast; the rest is an ordinary join without hot keys.
@@ -80,7 +80,7 @@ def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], rows: str)
     hot = F.col(rows) * 1000 > total
     few, many = right.where(hot).drop(rows), right.where(~hot).drop(rows)
     return (left.join(F.broadcast(few), keys)
-            .unionByName(left.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(many, keys)))
+            .unionByName(left.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(many, keys, how)))
 
 
 def crc_fold(id_col: str, n: int) -> Column:

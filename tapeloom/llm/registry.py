@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions.session import ship_package
-from tapeloom.llm import chat, decontamination, html_text, langid, neighbours, packing, periodic, quality, secrets, simhash, toxicity, urls
+from tapeloom.llm import chat, decontamination, html_text, langid, neighbours, packing, periodic, quality, secrets, simhash, toxicity, turn_repair, urls
 from tapeloom.llm.common import crc_fold, in_fold
 
 #: Bytes handed to a Python worker at once (or one longer row); bounds its memory for long texts.
@@ -106,6 +106,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    return turn_repair.repair_digests(turn_repair.damage(rows), rows.schema["conv_id"].dataType.simpleString())
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(read(spark, sf_dir, "documents"))
 
@@ -122,6 +127,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_turn_repair": op12_turn_repair,
     "op13_quality_rules": op13_quality_rules,
 }
 
