@@ -3,9 +3,9 @@
 Documents become token ids; what is longer than a window is first cut into
 full windows. The rests are packed by best-fit decreasing: a segment tree
 indexed by remaining capacity finds the tightest open window that still takes
-a piece. Windows that end up poorly filled are unpacked again and their pieces
-laid end to end; only there a piece is cut at a window's end, and the last
-stretch is split at powers of two, which need no padding.
+a piece. Windows that stay poorly filled keep their pieces too: the emptiest
+among them are taken apart, and their pieces, cut to measure, fill up the
+others. What is left of the last is split at powers of two, which need no padding.
 
 Each task packs the rows it reads, some thousands at a time, so nothing is
 shuffled and a task holds a bounded number of pieces.
@@ -14,7 +14,6 @@ shuffled and a task holds a bounded number of pieces.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,15 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import WorkerCache
-
 WINDOW = 2048
 #: Pieces that best-fit decreasing sees at once, in each task.
 POOL = 16_384
-#: Windows with at least this share filled stay as they are.
+#: Windows with at least this share filled are not filled up.
 FULL_ENOUGH = 0.97
-_SPACE_THEN = re.compile(r" (?:\s|\Z)")
-_JOINED_SPACE = re.compile(r"\s (?:\s|\Z)")
 #: The pre-tokens of byte-level BPE (fixed by the vocabulary file's pre-tokenizer).
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
@@ -77,34 +72,16 @@ def ranks_tell_merges(path: str) -> bool:
     return True
 
 
-class _Known(WorkerCache):
-    """Piece between spaces -> its ids as bytes, encoded when first asked for; short ones are remembered."""
-
-    def __init__(self, encode, lead: str):
-        super().__init__("packing", 72 << 20)
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, piece: str) -> bytes:
-        value = self.encode(self.lead + piece)
-        self.remember(piece, value)
-        return value
-
-
 class Encoder:
     """Token ids as little-endian 32-bit bytes, by a byte-level BPE file.
 
     The ids are those of ``tokenizers`` with special tokens taken as text. Where
     ``ranks_tell_merges`` holds, ``tiktoken`` applies the same vocabulary several times faster.
-
-    The pre-tokenizer of byte-level BPE starts a new unit at every single
-    space that follows a character other than white space, so the pieces between
-    spaces are encoded by themselves. Texts in which a space touches other white
-    space are encoded whole.
+    Both cut a text into the same pre-tokens as far as their regular expressions put every character in the same class; a test compares them on all characters.
     """
 
     def __init__(self, path: str, by_rank: bool):
-        self.whole = self._ranked(path) if by_rank else self._merged(path)
-        self.after_space, self.first = _Known(self.whole, " "), _Known(self.whole, "")
+        self.encode = self._ranked(path) if by_rank else self._merged(path)
 
     @staticmethod
     def _merged(path: str):
@@ -125,16 +102,6 @@ class Encoder:
         plain = tiktoken.Encoding("bpe", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
         return lambda text: array("I", plain.encode_ordinary(text)).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out, get, first = [], self.after_space.__getitem__, self.first
-        for text in texts:
-            if _SPACE_THEN.search(text) and _JOINED_SPACE.search(text):
-                out.append(self.whole(text))
-            else:
-                head, *rest = text.split(" ")
-                out.append(first[head] + b"".join(map(get, rest)))
-        return out
-
 
 def encoder(path: str, by_rank: bool) -> Encoder:
     if (path, by_rank) not in _encoders:
@@ -208,24 +175,54 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[list[int]]:
     return windows
 
 
+def fill_up(windows: list[list[Piece]], window: int) -> tuple[list[list[Piece]], list[Piece]]:
+    """Windows filled to the end, and the pieces left, of less than two windows.
+
+    The fullest are filled first, with pieces of the emptiest, shortest first; only those are cut.
+    """
+    waiting = sorted(windows, key=lambda w: sum(p.length for p in w))
+    full: list[list[Piece]] = []
+    spare: list[Piece] = []
+    first, last = 0, len(waiting) - 1
+    while first <= last:
+        row = list(waiting[last])
+        room = window - sum(p.length for p in row)
+        while room:
+            if not spare:
+                if first == last:
+                    return full, row
+                spare = sorted(waiting[first], key=lambda p: -p.length)
+                first += 1
+            p = spare.pop()
+            row.append(p._replace(ids=p.ids[:4 * room]))
+            if p.length > room:
+                spare.append(p._replace(start=p.start + room, ids=p.ids[4 * room:]))
+            room -= row[-1].length
+        full.append(row)
+        last -= 1
+    return full, spare
+
+
 def pack_pool(pieces: list[Piece], window: int) -> Iterator[list[Piece]]:
     """Sequences for one pool of pieces, each shorter than a window."""
     pieces = sorted(pieces, key=lambda p: (-len(p.ids), str(p.doc), p.start, p.ids))
-    loose: list[Piece] = []
+    poor: list[list[Piece]] = []
     for group in best_fit_decreasing([p.length for p in pieces], window):
         used = sum(pieces[k].length for k in group)
         if used >= FULL_ENOUGH * window or used & (used - 1) == 0:
             yield [pieces[k] for k in group]
         else:
-            loose += [pieces[k] for k in group]
+            poor.append([pieces[k] for k in group])
+    full, loose = fill_up(poor, window)
+    yield from full
     left = sum(p.length for p in loose)
     row: list[Piece] = []
     room = size = min(window, 1 << max(0, left.bit_length() - 1))
     for p in loose:
         while p.ids:
             part, rest = p.ids[:4 * room], p.ids[4 * room:]
-            row.append(Piece(p.doc, p.start, part, p.doc_tokens))
-            p = Piece(p.doc, p.start + len(part) // 4, rest, p.doc_tokens)
+            row.append(p._replace(ids=part))
+            p = p._replace(start=p.start + len(part) // 4, ids=rest)
             room -= len(part) // 4
             if not room:
                 yield row
@@ -255,7 +252,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     end = int(end_id).to_bytes(4, "little")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, serial = encoder(tokenizer_path, by_rank), TaskContext.get().partitionId() << 32
+        encode, serial = encoder(tokenizer_path, by_rank).encode, TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
         waiting: list[Piece] = []
 
@@ -277,19 +274,18 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
         for batch in batches:
             ids, texts = batch.iloc[:, 0].tolist(), [t if isinstance(t, str) else "" for t in batch.iloc[:, 1]]
-            for lo in range(0, len(texts), 256):
-                for doc, data in zip(ids[lo:lo + 256], enc.encode(texts[lo:lo + 256])):
-                    data += end
-                    doc = None if doc is None or doc != doc else doc
-                    total, cut = len(data) // 4, len(data) - len(data) % (4 * window)
-                    for at in range(0, cut, 4 * window):
-                        emit([Piece(doc, at // 4, data[at:at + 4 * window], total)])
-                    if cut < len(data):
-                        waiting.append(Piece(doc, cut // 4, data[cut:], total))
-                while len(waiting) >= pool:
-                    for sequence in pack_pool(waiting[:pool], window):
+            for doc, text in zip(ids, texts):
+                data = encode(text) + end
+                doc = None if doc is None or doc != doc else doc
+                total, cut = len(data) // 4, len(data) - len(data) % (4 * window)
+                for at in range(0, cut, 4 * window):
+                    emit([Piece(doc, at // 4, data[at:at + 4 * window], total)])
+                if cut < len(data):
+                    waiting.append(Piece(doc, cut // 4, data[cut:], total))
+                if len(waiting) >= pool:
+                    for sequence in pack_pool(waiting, window):
                         emit(sequence)
-                    del waiting[:pool]
+                    waiting.clear()
             yield out()
         for sequence in pack_pool(waiting, window):
             emit(sequence)
