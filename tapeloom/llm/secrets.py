@@ -93,7 +93,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null text counts as empty. Repeated rows give repeated results. Other
     columns are not carried, so their names cannot clash.
     """
-    rid, owner, repo, pieces = fresh(docs, "row", "owner", "repository", "pieces")
+    rid, owner, repo, pieces, judged_spans, covered = fresh(docs, "row", "owner", "repository", "pieces", "judged", "covered")
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = [F.col(id_col), *[F.col(c) for c in keep if c != id_col]]
     rows = materialize(docs.select(
@@ -121,8 +121,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stretches = (marked.withColumn("opens", opens).withColumn("stretch", F.sum(F.col("opens").cast("long")).over(upto))
                  .withColumn("until", F.max(F.when(F.col("live"), F.col("end"))).over(Window.partitionBy("row", "stretch"))))
     judged = stretches.groupBy(F.col("row").alias(rid)).agg(
-        F.array_sort(F.collect_list(F.struct("start", "rank", "end", "live"))).alias("judged"),
-        F.array_sort(F.collect_list(F.when(F.col("opens"), F.struct(F.col("start"), F.col("until").alias("end"))))).alias("cover"))
+        F.array_sort(F.collect_list(F.struct("start", "rank", "end", "live"))).alias(judged_spans),
+        F.array_sort(F.collect_list(F.when(F.col("opens"), F.struct(F.col("start"), F.col("until").alias("end"))))).alias(covered))
     no_cover = F.array().cast(_COVER)
     found = some.join(judged, rid, "left")
 
@@ -130,7 +130,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return [*out, spans.alias(out_col), *([cover.alias(cover_col)] if cover_col else [])]
 
     return (rows.where(F.size(pieces) == 0).select(*shown(none, no_cover))
-            .unionByName(found.select(*shown(F.coalesce("judged", none), F.coalesce("cover", no_cover)))))
+            .unionByName(found.select(*shown(F.coalesce(judged_spans, none), F.coalesce(covered, no_cover)))))
 
 
 def span_list(spans: Column) -> Column:
