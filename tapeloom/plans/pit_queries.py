@@ -62,19 +62,15 @@ def a5(spark: S, d: str) -> DataFrame:
 
 # memberships: each security belongs to an industry (nation) over intervals
 MEMBERS = """SELECT lpad(CAST(o_custkey % 100 AS VARCHAR), 6, '0') AS code, 'N' || (o_orderkey % 25) AS industry, CAST(o_orderdate AS DATE) AS effective_from,
-  CASE WHEN o_orderkey % 50 = 3 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INTEGER) END AS effective_to, o_orderkey AS id FROM orders WHERE o_orderkey % 10 = 3"""
+  CASE WHEN o_orderkey % 50 = 3 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INTEGER) END AS effective_to, o_orderkey AS id FROM orders"""
 
 
-def whole_members(spark: S, d: str) -> DataFrame:
+def members(spark: S, d: str) -> DataFrame:
     k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     return table(spark, d, "orders").select(code_of(F.col("o_custkey") % 100).alias("code"), F.concat(F.lit("N"), k % 25).alias("industry"), day.alias("effective_from"),
                                            F.when(k % 50 != 3, F.date_add(day, (k % 40).cast("int"))).alias("effective_to"), k.alias("id"))
 
 
-def members(spark: S, d: str) -> DataFrame:
-    return whole_members(spark, d).where(F.col("id") % 10 == 3)
-
-
 @query("a6_membership_quality", f"""WITH m AS ({MEMBERS}), o AS (SELECT *, max(coalesce(effective_to, DATE '9999-12-31')) OVER (PARTITION BY code ORDER BY effective_from, coalesce(effective_to, DATE '9999-12-31'), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM m)
 SELECT count(*) AS n, count(DISTINCT code) AS codes, count(*) FILTER (until > effective_from) AS overlaps, count(*) FILTER (until = effective_from) AS touching, count(*) FILTER (effective_from > effective_to) AS bad_ranges,
   (SELECT count(*) FROM (SELECT code FROM m WHERE effective_to IS NULL GROUP BY code HAVING count(*) > 1)) AS multi_current, (SELECT count(*) FROM m WHERE industry NOT IN (SELECT 'N' || n_nationkey FROM nation WHERE n_nationkey < 20)) AS orphans FROM o""")
@@ -95,10 +91,10 @@ def a9(spark: S, d: str) -> DataFrame:
     return daily_bars(spark, d).groupBy("code").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("n"))
 
 
-@query("j7_point_in_interval", f"""WITH p AS (SELECT DISTINCT code, ann_date AS day FROM ({REPORTS}) WHERE id % 7 = 0), h AS (SELECT p.code, p.day, min(industry) AS lo, max(industry) AS hi FROM p JOIN ({MEMBERS}) m ON p.code = m.code AND m.effective_from <= p.day AND (m.effective_to IS NULL OR m.effective_to >= p.day) GROUP BY 1, 2)
+@query("j7_point_in_interval", f"""WITH p AS (SELECT DISTINCT code, ann_date AS day FROM ({REPORTS})), h AS (SELECT p.code, p.day, min(industry) AS lo, max(industry) AS hi FROM p JOIN ({MEMBERS}) m ON p.code = m.code AND m.effective_from <= p.day AND (m.effective_to IS NULL OR m.effective_to >= p.day) GROUP BY 1, 2)
 SELECT p.code, p.day, CASE WHEN coalesce(lo <> hi, false) THEN NULL ELSE lo END AS industry, coalesce(lo <> hi, false) AS ambiguous FROM p LEFT JOIN h USING (code, day)""")
 def j7(spark: S, d: str) -> DataFrame:
-    points = reports(spark, d).where("id % 7 = 0").select("code", F.col("ann_date").alias("day")).distinct()
+    points = reports(spark, d).select("code", F.col("ann_date").alias("day")).distinct()
     return P.membership_at(members(spark, d), points, "day")
 
 
@@ -108,26 +104,6 @@ def j8(spark: S, d: str) -> DataFrame:
     return P.overlaps(members(spark, d), ["code"]).groupBy("code").agg(F.count_if(F.col("meets") == "overlap").alias("overlaps"), F.count_if(F.col("meets") == "touch").alias("touches"))
 
 
-# the same three over all orders: every membership and every point
-WHOLE_MEMBERS = MEMBERS.replace(" WHERE o_orderkey % 10 = 3", "")
-
-
-@query("a6_membership_quality_whole", ORACLE["a6_membership_quality"].replace(MEMBERS, WHOLE_MEMBERS))
-def a6_whole(spark: S, d: str) -> DataFrame:
-    kinds = table(spark, d, "nation").where("n_nationkey < 20").select(F.concat(F.lit("N"), "n_nationkey").alias("industry"))
-    return P.membership_quality(whole_members(spark, d), kinds)
-
-
-@query("j7_point_in_interval_whole", ORACLE["j7_point_in_interval"].replace(MEMBERS, WHOLE_MEMBERS).replace(" WHERE id % 7 = 0", ""))
-def j7_whole(spark: S, d: str) -> DataFrame:
-    return P.membership_at(whole_members(spark, d), reports(spark, d).select("code", F.col("ann_date").alias("day")).distinct(), "day")
-
-
-@query("j8_interval_overlaps_whole", ORACLE["j8_interval_overlaps"].replace(MEMBERS, WHOLE_MEMBERS))
-def j8_whole(spark: S, d: str) -> DataFrame:
-    return P.overlaps(whole_members(spark, d), ["code"]).groupBy("code").agg(F.count_if(F.col("meets") == "overlap").alias("overlaps"), F.count_if(F.col("meets") == "touch").alias("touches"))
-
-
 @query("j9_j10_semi_anti", f"""SELECT lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS code, EXISTS (SELECT 1 FROM ({BARS}) b WHERE b.code = lpad(CAST(c_custkey AS VARCHAR), 6, '0') AND day <= DATE '1996-06-30') AS has_bars FROM customer""")
 def j9(spark: S, d: str) -> DataFrame:
     codes = table(spark, d, "customer").select(code_of(F.col("c_custkey")).alias("code"))

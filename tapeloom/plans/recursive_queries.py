@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions import indicators as ind
+from tapeloom.functions import scans
 from tapeloom.plans.base import BY_CODE, lag, over, query, rolled
 from tapeloom.sources.testmap import BARS, daily_bars
 
@@ -50,28 +50,35 @@ def _mean(x: str, old: str, alpha: str) -> str:
     return f"CASE WHEN {x} IS NULL THEN {old} WHEN {old} IS NULL THEN {x} ELSE {old} + {alpha} * ({x} - {old}) END"
 
 
-def _register(name: str, specs: list, steps: Sequence[Step], recursions: str, columns: dict[str, str], digits: int = 4, tail: str = "FROM p LEFT JOIN r USING (code, i)") -> None:
+def _register(name: str, specs: list | Callable[[DataFrame], DataFrame], steps: Sequence[Step], recursions: str, columns: dict[str, str], digits: int = 4,
+              tail: str = "FROM p LEFT JOIN r USING (code, i)") -> None:
+    """``specs``: kernels to fold with, or a function of the bars."""
     @query(name, f"WITH RECURSIVE {_ctes(steps)}{recursions} SELECT code, day, {_out(columns, digits)} {tail}")
     def run(spark: SparkSession, d: str) -> DataFrame:
-        done = ind.recursive(daily_bars(spark, d), specs)
+        bars = daily_bars(spark, d)
+        done = specs(bars) if callable(specs) else ind.recursive(bars, specs)
         return done.select("code", "day", *[(F.round(F.col(c) + _nudge(digits), digits) + 0.0).alias(c) for c in columns])
 
 
+def _scans(bars: DataFrame) -> scans.Scans:
+    """A quarter of a security's bars is a bucket."""
+    return scans.Scans(bars, F.trunc("day", "quarter"))
+
+
 def _simple(state: Step, alpha: Step, first: int = 1) -> str:
     """Independent exponential means of columns, by name."""
     return ", " + _recursion("r", "p", state, [{n: _mean(state[n], f"o_{n}", alpha[n]) for n in state}], first)
 
 
-HLC = ["close", "high", "low"]
 _holes = "CASE WHEN i % 7 = 0 THEN NULL ELSE volume / 1e3 END"
 
 
-def _own_alpha(close: np.ndarray, volume: np.ndarray) -> np.ndarray:
-    rows = np.arange(1, len(close) + 1)
-    return ind.dma(close, np.where(rows % 7 == 0, np.nan, volume / 1e3))
+def _means(bars: DataFrame) -> DataFrame:
+    x, alpha = F.col("close"), F.when(F.col("_i") % 7 != 0, F.col("volume") / 1e3)
+    return _scans(ind.Series(bars).df).scan(ema12=scans.ema_step(x, 12), sma12=scans.mean_step(x, 1 / 12), dma_own=scans.mean_step(x, alpha), dma3=scans.mean_step(x, 0.3)).df
 
 
-_register("t12_recursive_means", [("ema12", ["close"], lambda c: ind.ema(c, 12)), ("sma12", ["close"], lambda c: ind.sma(c, 12)), ("dma_own", ["close", "volume"], _own_alpha), ("dma3", ["close"], lambda c: ind.dma(c, 0.3))],
+_register("t12_recursive_means", _means,
           [{"a": _holes}], ", " + _recursion("r", "p", {"e": "close", "s": "close", "own": "close", "t": "close"}, [{
               "e": "o_e + 2e0 / 13 * (close - o_e)", "s": "o_s + (close - o_s) / 12e0", "own": "coalesce(a, 1e0) * close + (1e0 - coalesce(a, 1e0)) * o_own", "t": "0.3e0 * close + 0.7e0 * o_t"}]),
           {"ema12": "e", "sma12": "s", "dma_own": "own", "dma3": "t"})
@@ -80,33 +87,66 @@ _register("t14_filter", [("filtered", ["open", "close"], lambda o, c: ind.suppre
           ", " + _recursion("r", "p", {"kept": "CASE WHEN up THEN i END", "hit": "CASE WHEN up THEN 1e0 ELSE 0e0 END"}, [
               {"hit": "CASE WHEN up AND (o_kept IS NULL OR i > o_kept + 3) THEN 1e0 ELSE 0e0 END"}, {"kept": "CASE WHEN hit = 1 THEN i ELSE o_kept END"}]), {"filtered": "hit"})
 
-_register("t20_ranges", [("top", ["close"], ind.top_range), ("low_range", ["close"], ind.low_range)], [],
-          ", u AS (SELECT a.code, a.i, max(b.i) AS j FROM p a JOIN p b ON b.code = a.code AND b.i < a.i AND b.close >= a.close GROUP BY 1, 2)"
-          ", d AS (SELECT a.code, a.i, max(b.i) AS j FROM p a JOIN p b ON b.code = a.code AND b.i < a.i AND b.close <= a.close GROUP BY 1, 2)",
-          {"top": "coalesce(i - u.j - 1, 0)::DOUBLE", "low_range": "coalesce(i - d.j - 1, 0)::DOUBLE"}, tail="FROM p LEFT JOIN u USING (code, i) LEFT JOIN d USING (code, i)")
+# a security's closes as one list, so that a row looks back along it: no pairs of rows
+_LISTS = ", l AS MATERIALIZED (SELECT code, list(close ORDER BY i) AS closes FROM p GROUP BY code)"
+
+
+def _since(sign: str) -> str:
+    """Rows right before this one that are all lower (higher), 0 if all are: where the first one that is not stands, going back."""
+    return f"coalesce(list_position(list_transform(list_reverse(closes[1:i - 1]), lambda x: x {sign} close), true) - 1, 0)::DOUBLE"
 
-_register("t21_macd", [("dif,dea,macd", ["close"], ind.macd)], [], ", " + _recursion("r", "p", {"s": "close", "l": "close", "dea": "0e0"}, [
+
+_register("t20_ranges", [("top", ["close"], ind.top_range), ("low_range", ["close"], ind.low_range)], [], _LISTS,
+          {"top": _since(">="), "low_range": _since("<=")}, tail="FROM p JOIN l USING (code)")
+
+_register("t21_macd", lambda bars: scans.macd(_scans(bars)).df, [], ", " + _recursion("r", "p", {"s": "close", "l": "close", "dea": "0e0"}, [
     {"s": "o_s + 2e0 / 13 * (close - o_s)", "l": "o_l + 2e0 / 27 * (close - o_l)"}, {"dea": "o_dea + 0.2e0 * ((s - l) - o_dea)"}]),
     {"dif": "s - l", "dea": "dea", "macd": "(s - l - dea) * 2"}, 3)
 
-_register("t22_kdj", [("k,d,j", HLC, ind.kdj)], [{"hi": rolled("max", "high", 9), "lo": rolled("min", "low", 9)}, {"rsv": "(close - lo) / nullif(hi - lo, 0) * 100"}],
+def _kdj(bars: DataFrame) -> DataFrame:
+    s = ind.Series(bars)
+    s.let(_low=s.llv("low", 9), _high=s.hhv("high", 9))
+    return scans.kdj(_scans(s.df), ind.divide(F.col("close") - F.col("_low"), F.col("_high") - F.col("_low")) * 100).df
+
+
+_register("t22_kdj", _kdj, [{"hi": rolled("max", "high", 9), "lo": rolled("min", "low", 9)}, {"rsv": "(close - lo) / nullif(hi - lo, 0) * 100"}],
           ", " + _recursion("r", "p", {"k": "rsv", "d": "rsv"}, [{"k": _mean("rsv", "o_k", "(1e0 / 3)")}, {"d": _mean("k", "o_d", "(1e0 / 3)")}]), {"k": "k", "d": "d", "j": "3 * k - 2 * d"})
 
-_register("t23_rsi", [("rsi24", ["close"], ind.rsi), ("rsi6", ["close"], lambda c: ind.rsi(c, 6))], [{"ch": f"close - {lag('close')}"}, {"up": "CASE WHEN ch IS NOT NULL THEN greatest(ch, 0e0) END", "ab": "abs(ch)"}],
+_register("t23_rsi", lambda bars: scans.rsi(_scans(bars), "close", 24, 6).df, [{"ch": f"close - {lag('close')}"}, {"up": "CASE WHEN ch IS NOT NULL THEN greatest(ch, 0e0) END", "ab": "abs(ch)"}],
           ", " + _recursion("r", "p", {"u24": "up", "a24": "ab", "u6": "up", "a6": "ab"}, [{f"{x}{n}": _mean(c, f"o_{x}{n}", f"(1e0 / {n})") for n in (24, 6) for x, c in (("u", "up"), ("a", "ab"))}]),
           {"rsi24": "u24 / nullif(a24, 0) * 100", "rsi6": "u6 / nullif(a6, 0) * 100"}, 3)
 
-_register("t28_keltner", [("ktn_up,ktn_mid,ktn_low", HLC, ind.keltner)], [{"tp": "(high + low + close) / 3", "lc": lag("close")}, {"tr": "CASE WHEN lc IS NOT NULL THEN greatest(high - low, abs(lc - high), abs(lc - low)) END"},
+def _keltner(bars: DataFrame) -> DataFrame:
+    s = ind.true_range(ind.Series(bars))
+    s.let(_span=s.ma("_tr", 10), _typical=(F.col("high") + F.col("low") + F.col("close")) / 3)
+    s = _scans(s.df).scan(ktn_mid=scans.ema_step(F.col("_typical"), 20))
+    return s.let(ktn_up=F.col("ktn_mid") + 2 * F.col("_span"), ktn_low=F.col("ktn_mid") - 2 * F.col("_span")).df
+
+
+_register("t28_keltner", _keltner, [{"tp": "(high + low + close) / 3", "lc": lag("close")}, {"tr": "CASE WHEN lc IS NOT NULL THEN greatest(high - low, abs(lc - high), abs(lc - low)) END"},
           {"span": rolled("avg", "tr", 10)}], _simple({"m": "tp"}, {"m": "(2e0 / 21)"}), {"ktn_up": "m + 2 * span", "ktn_mid": "m", "ktn_low": "m - 2 * span"})
 
-_register("t29_trix_expma", [("trix,trma", ["close"], ind.trix), ("expma12", ["close"], lambda c: ind.ema(c, 12)), ("expma50", ["close"], lambda c: ind.ema(c, 50))], [],
+def _trix(bars: DataFrame) -> DataFrame:
+    x = F.col("close")
+    s = ind.Series(scans.trix(_scans(bars).scan(expma12=scans.ema_step(x, 12), expma50=scans.ema_step(x, 50))).df)
+    return s.let(trma=s.ma("trix", 20)).df
+
+
+_register("t29_trix_expma", _trix, [],
           ", " + _recursion("r", "p", {"a": "close", "b": "close", "c": "close", "f": "close"}, [{"a": "o_a + 2e0 / 13 * (close - o_a)", "f": "o_f + 2e0 / 51 * (close - o_f)"},
                                                                                             {"b": "o_b + 2e0 / 13 * (a - o_b)"}, {"c": "o_c + 2e0 / 13 * (b - o_c)"}])
           + f", q AS (SELECT code, i, a, f, (c - lag(c) OVER (PARTITION BY code ORDER BY i)) / lag(c) OVER (PARTITION BY code ORDER BY i) * 100 AS rate FROM r)"
           + ", s AS (SELECT *, CASE WHEN count(rate) OVER w = 20 THEN avg(rate) OVER w END AS trma FROM q WINDOW w AS (PARTITION BY code ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))",
           {"trix": "rate", "trma": "trma", "expma12": "a", "expma50": "f"}, tail="FROM p JOIN s USING (code, i)")
 
-_register("t32_channel", [("td1,td2,td3,td4", HLC, ind.channel)], [{"wt": "(2 * close + high + low) / 4", "m": rolled("avg", "close", 20)}, {"base": rolled("avg", "wt", 5), "a": "coalesce(abs(wt - m) / m, 1e0)"}],
+def _channel(bars: DataFrame) -> DataFrame:
+    s = ind.Series(bars).let(_weighted=(2 * F.col("close") + F.col("high") + F.col("low")) / 4)
+    s.let(_mean=s.ma("close", 20), _base=s.ma("_weighted", 5))
+    s = _scans(s.df).scan(_centre=scans.mean_step(F.col("close"), F.abs(F.col("_weighted") - F.col("_mean")) / F.col("_mean")))
+    return s.let(td1=F.col("_base") * 102 / 100, td2=F.col("_base") * 98 / 100, td3=F.col("_centre") * 1.07, td4=F.col("_centre") * 0.93).df
+
+
+_register("t32_channel", _channel, [{"wt": "(2 * close + high + low) / 4", "m": rolled("avg", "close", 20)}, {"base": rolled("avg", "wt", 5), "a": "coalesce(abs(wt - m) / m, 1e0)"}],
           ", " + _recursion("r", "p", {"y": "close"}, [{"y": "a * close + (1e0 - a) * o_y"}]), {"td1": "base * 102 / 100", "td2": "base * 98 / 100", "td3": "1.07e0 * y", "td4": "0.93e0 * y"})
 
 _B, _C = ind.SuperSmoother(10).weights
@@ -120,9 +160,12 @@ _register("t34_sum_bars", [("sumbars", ["volume"], lambda v: ind.sum_bars(v, 200
           ", u AS (SELECT a.code, a.i, max(b.i) AS j FROM p a JOIN (SELECT code, i, up_to FROM p UNION ALL SELECT DISTINCT code, 0, 0e0 FROM p) b ON b.code = a.code AND b.i < a.i AND b.up_to <= a.up_to - 200 GROUP BY 1, 2)",
           {"sumbars": "coalesce(i - u.j, 0)::DOUBLE"}, tail="FROM p LEFT JOIN u USING (code, i)")
 
-_register("t7_variable_extreme", [("hhv_v", ["close", "volume"], ind.variable_extreme), ("llv_v", ["close", "volume"], lambda c, v: ind.variable_extreme(c, v, low=True))], [],
-          ", u AS (SELECT a.code, a.i, max(b.close) AS h, min(b.close) AS l FROM p a JOIN p b ON b.code = a.code AND b.i <= a.i AND b.i > a.i - CAST(floor(a.volume) AS BIGINT) WHERE a.volume <= a.i GROUP BY 1, 2)",
-          {"hhv_v": "u.h", "llv_v": "u.l"}, 9, tail="FROM p LEFT JOIN u USING (code, i)")
+def _extremes(bars: DataFrame) -> DataFrame:
+    return scans.variable_extreme(scans.variable_extreme(bars, "close", "volume", "hhv_v"), "close", "volume", "llv_v", low=True)
+
+
+_register("t7_variable_extreme", _extremes, [], _LISTS,
+          {n: f"CASE WHEN floor(volume) BETWEEN 1 AND i THEN {f}(closes[i - CAST(floor(volume) AS BIGINT) + 1:i]) END" for n, f in (("hhv_v", "list_max"), ("llv_v", "list_min"))}, 9, tail="FROM p JOIN l USING (code)")
 
 _TEN = "ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING"
 _register("t35_sar", [("sar", ["high", "low"], ind.parabolic_sar)],
