@@ -2,11 +2,10 @@
 
 One step of an exponential mean turns the value so far, y, into a * y + b. Such
 steps compose: two in a row are one step again, whatever y is. So a series is cut
-into buckets of time; in each bucket every row learns the composition of the bucket's steps up to
-itself, by doubling (compose with the row 1, 2, 4, ... before); the buckets' last rows,
-one per bucket, are composed over the series in the same way; and each row applies its own
-composition to the value with which its bucket begins. A series is spread over as many tasks as it
-has buckets, and no task holds more rows than a bucket or a series' bucket heads.
+into buckets of time; a bucket's rows, in order, are folded to the one step that they make together; the
+buckets' steps, one row each, are composed over the series by doubling (with the bucket 1, 2, 4, ... before);
+and each bucket is folded again from the value with which it begins. A series is spread over as many tasks as it
+has buckets; a task holds one bucket's rows at a time, and of a series only one row per bucket.
 
 Before its first value a series has no y. A step therefore has a third part, the
 value that it makes of nothing; null says that there is still none. A row without a value is the
@@ -53,28 +52,28 @@ def _doublings(rows: int) -> int:
 class Scans:
     """A table whose series (``by``, in order of ``order``, one row per value) get columns from scans.
 
-    ``bucket`` is an expression of the row's time that never falls along a series; every value of it is a bucket. Rows with equal
-    ``order`` in a series have no defined order. Columns keep their names; those that are made on the way are clear of them.
+    ``bucket`` is an expression of the row's time that never falls along a series; every value of it is a bucket, of some thousand rows at
+    most (a fold copies what it has so far). Rows with equal ``order`` in a series have no defined order. Columns keep their names; those that are made
+    on the way are clear of them.
     """
 
     def __init__(self, df: DataFrame, bucket: Column, by: Sequence[str] = ("code",), order: str = "day"):
         (self.bucket,) = spare(df.columns, "_bucket")
         self.df, self.by, self.order = df.withColumn(self.bucket, bucket), list(by), order
-        counts = self.df.groupBy(*by, self.bucket).count().groupBy(*by).agg(F.max("count").alias("rows"), F.count("*").alias("buckets"))
-        most = counts.agg(F.max("rows"), F.max("buckets")).first()
-        self.rounds = [_doublings(most[0] or 0), _doublings(most[1] or 0)]
-
-    def _compose(self, df: DataFrame, names: Sequence[str], by: Sequence[str], order: str, rounds: int) -> DataFrame:
-        """Steps ``name_a``, ``name_b``, ``name_s`` replaced by their compositions from the first row of ``by`` on."""
-        w = Window.partitionBy(*by).orderBy(order)
-        for k in range(rounds):
+        counts = self.df.select(*by, self.bucket).distinct().groupBy(*by).agg(F.count("*").alias("n"))
+        self.rounds = _doublings(counts.agg(F.max("n")).first()[0] or 0)
+
+    def _compose(self, heads: DataFrame, names: Sequence[str]) -> DataFrame:
+        """The buckets' steps ``name_a``, ``name_b``, ``name_s`` replaced by their compositions from the series' first bucket on."""
+        w = Window.partitionBy(*self.by).orderBy(self.bucket)
+        for k in range(self.rounds):
             has, new = F.lag(F.lit(True), 1 << k).over(w), {}
             for n in names:
                 own = tuple(F.col(f"{n}_{p}") for p in "abs")
                 both = _then(tuple(F.lag(x, 1 << k).over(w) for x in own), own)
                 new |= {f"{n}_{p}": F.when(has, x).otherwise(y) for p, x, y in zip("abs", both, own)}
-            df = df.withColumns(new)
-        return df
+            heads = heads.withColumns(new)
+        return heads
 
     def let(self, **columns: Column) -> "Scans":
         self.df = self.df.withColumns(columns)
@@ -82,29 +81,32 @@ class Scans:
 
     def scan(self, before: Sequence[str] = (), **steps: Step) -> "Scans":
         """A column per step: the value after each row, or before it for those named in ``before``."""
-        names = dict(zip(steps, spare(self.df.columns, *[f"_{n}" for n in steps])))
-        parts = {f"{names[n]}_{p}": x for n, step in steps.items() for p, x in zip("abs", step)}
-        keep = self.df.columns
-        local = self._compose(self.df.withColumns(parts), list(names.values()), [*self.by, self.bucket], self.order, self.rounds[0])
-        # a bucket's last row holds the bucket's composition
-        heads = local.groupBy(*self.by, self.bucket).agg(F.max_by(F.struct(*parts), self.order).alias("_h")).select(*self.by, self.bucket, "_h.*")
-        whole = self._compose(heads, list(names.values()), self.by, self.bucket, self.rounds[1])
-        w = Window.partitionBy(*self.by).orderBy(self.bucket)
+        names, keep = list(steps), self.df.columns
+        row, at, rows, starts, out = spare([*keep, *names], "_row", "_at", "_rows", "_starts", "_out")
+        parts = F.struct(*[F.struct(*[x.alias(p) for p, x in zip("abs", step)]).alias(n) for n, step in steps.items()])
+        packed = F.struct(F.col(self.order).alias("o"), F.struct(*keep).alias("r"), parts.alias("p"))
         key = [*self.by, self.bucket]
-        starts = whole.select(F.struct(*key).alias("_at"), *[F.lag(f"{m}_s").over(w).alias(f"{m}_0") for m in names.values()])
+        grouped = self.df.groupBy(*key).agg(F.sort_array(F.collect_list(packed)).alias(rows))
+
+        def fold_step(n: str) -> Column:
+            nothing = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(None).cast("double").alias("s"))
+            return F.aggregate(rows, nothing, lambda acc, x: F.struct(*[v.alias(p) for p, v in zip("abs", _then(tuple(acc[p] for p in "abs"), tuple(x["p"][n][p] for p in "abs")))]))
+
+        heads = grouped.select(*key, *[fold_step(n).alias(n) for n in names]).select(*key, *[F.col(f"{n}.{p}").alias(f"{n}_{p}") for n in names for p in "abs"])
+        w = Window.partitionBy(*self.by).orderBy(self.bucket)
+        begin = self._compose(heads, names).select(F.struct(*key).alias(at), F.struct(*[F.lag(f"{n}_s").over(w).alias(n) for n in names]).alias(starts))
+        kind = "array<struct<" + ",".join(f"`{n}`:double" for n in names) + ">>"
+
+        def advance(acc: Column, x: Column) -> Column:
+            new = F.struct(*[F.when(acc["y"][n].isNull(), x["p"][n]["s"]).otherwise(x["p"][n]["a"] * acc["y"][n] + x["p"][n]["b"]).alias(n) for n in names])
+            # through a list of one, so that the new values are worked out once
+            return F.transform(F.array(new), lambda y: F.struct(y.alias("y"), F.concat(acc["out"], F.array(F.struct(*[(acc["y"] if n in before else y)[n].alias(n) for n in names]))).alias("out")))[0]
+
+        replayed = F.aggregate(rows, F.struct(F.col(starts).alias("y"), F.array().cast(kind).alias("out")), advance, lambda acc: acc["out"])
         # structs compare as wholes, null keys and all
-        joined = local.withColumn("_at", F.struct(*key)).join(starts, "_at").drop("_at")
-        in_bucket = Window.partitionBy(*self.by, self.bucket).orderBy(self.order)
-        out, late = {}, {}
-        for n, m in names.items():
-            start = F.col(f"{m}_0")
-            out[n] = F.when(start.isNull(), F.col(f"{m}_s")).otherwise(F.col(f"{m}_a") * start + F.col(f"{m}_b"))
-            if n in before:
-                late[n] = F.when(F.row_number().over(in_bucket) == 1, start).otherwise(F.lag(n).over(in_bucket))
-        done = joined.withColumns(out)
-        if late:
-            done = done.withColumns(late)
-        self.df = done.select(*keep, *steps)
+        done = grouped.withColumn(at, F.struct(*key)).join(begin, at).select(F.arrays_zip(F.col(rows).alias(rows), replayed.alias(out)).alias(row))
+        done = done.select(F.explode(row).alias(row)).select(f"{row}.{rows}.r", f"{row}.{out}")
+        self.df = done.select(*[F.col(f"r.`{c}`") for c in keep if c not in steps], *[F.col(f"{out}.{n}") for n in names])
         return self
 
     def last_value(self, name: str, x: Column) -> "Scans":

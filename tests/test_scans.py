@@ -30,7 +30,7 @@ def folded(xs, alphas):
     return out
 
 
-DATA = {"a": series(1, 300), None: series(4, 20), "b": [None] * 40 + series(2, 60, 0.6), "c": [None] * 30, "d": [1.5], "e": series(3, 97, 0)}
+DATA = {"a": series(1, 150), None: series(4, 20), "b": [None] * 40 + series(2, 60, 0.6), "c": [None] * 30, "d": [1.5], "e": series(3, 97, 0)}
 
 
 @pytest.mark.parametrize("width", [7, 10_000])
@@ -55,7 +55,7 @@ def _by_code(df):
 
 
 def test_indicators_equal_their_folds(spark):
-    df = frame(spark, {"a": series(5, 400, 0), "b": series(6, 31, 0)})
+    df = frame(spark, {"a": series(5, 200, 0), "b": series(6, 31, 0)})
     s = scans.Scans(df.withColumn("close", F.col("x") + 10), F.trunc("day", "month"))
     got = scans.trix(scans.rsi(scans.macd(s), "close", 6, 24)).result("close", "dif", "dea", "macd", "rsi6", "rsi24", "trix")
     for rows in _by_code(got).values():
@@ -68,7 +68,7 @@ def test_indicators_equal_their_folds(spark):
 
 def test_no_python_and_one_busy_series_in_several_tasks(spark):
     """Half of all rows are one series': after the deal by (series, bucket) several tasks hold some of them."""
-    df = frame(spark, {"busy": series(8, 2000, 0.1), **{f"c{k}": series(k, 40) for k in range(50)}})
+    df = frame(spark, {"busy": series(8, 900, 0.1), **{f"c{k}": series(k, 40) for k in range(20)}})
     s = scans.Scans(df, F.trunc("day", "month"))
     done = scans.macd(s, "x").result("dif", "dea", "macd")
     plan = done._jdf.queryExecution().toString()
