@@ -7,9 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.functions import factors
 from tapeloom.functions import indicators as ind
 from tapeloom.functions import scans
-from tapeloom.plans.base import BY_CODE, lag, over, query, rolled
+from tapeloom.plans.base import BY_CODE, ORACLE, lag, over, query, rolled
 from tapeloom.sources.testmap import BARS, daily_bars
 
 Step = dict[str, str]
@@ -184,3 +185,22 @@ _register("t35_sar_from_start", [("sar0", ["high", "low"], ind.parabolic_sar_fro
               {"turned": "CASE WHEN o_way > 0 THEN low < held ELSE high > held END"},
               {"way": "CASE WHEN turned THEN -o_way ELSE o_way END", "reach": "CASE WHEN NOT turned THEN far WHEN o_way > 0 THEN low ELSE high END", "pace": "CASE WHEN turned THEN 0.02e0 ELSE quick END",
                "stop": "CASE WHEN NOT turned THEN held WHEN o_way < 0 THEN least(low, pl) WHEN ph = far THEN far ELSE far + 0.02e0 * (low - far) END"}]), {"sar0": "stop"})
+
+
+def _selected(name: str, tag: str) -> str:
+    """A registered query's SQL as a table, so that its rows can be joined with others'."""
+    return f"(SELECT * FROM ({ORACLE[name]}) AS {tag}_inner) AS {tag}"
+
+
+# the same rows through SQL text and the table function
+@query("f_factor_values", f"SELECT code, day, dif, dea, macd, sar, sar0 FROM {_selected('t21_macd', 'm')} JOIN {_selected('t35_sar', 's')} USING (code, day) JOIN {_selected('t35_sar_from_start', 'z')} USING (code, day)")
+def factor_values(spark: SparkSession, d: str) -> DataFrame:
+    factors.register_sql(spark)
+    bars = daily_bars(spark, d).select("code", "day", "close", "high", "low")
+
+    def one(name: str) -> DataFrame:
+        return spark.sql(f"SELECT * FROM factor_values(TABLE({{bars}}) PARTITION BY (code) ORDER BY (day), '{name}')", bars=bars)
+
+    joined = one("macd").join(one("sar"), ["code", "day"]).join(one("sar_from_start"), ["code", "day"])
+    digits = {"dif": 3, "dea": 3, "macd": 3, "sar": 4, "sar0": 4}
+    return joined.select("code", "day", *[(F.round(F.col(c) + _nudge(n), n) + 0.0).alias(c) for c, n in digits.items()])
