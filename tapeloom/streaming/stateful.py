@@ -3,7 +3,7 @@
 ``observe_revisions`` is ``operators.adjust.observe`` as a stream: a row for every new or
 moved value of a (code, day), numbered by revision. A key's state is its latest value and revision, and
 the sequence numbers that it has seen, so that a row that comes twice counts once. State lasts for a time after
-its last use, then it and its timer go; a ledger may be given to start from. Needs the RocksDB state store
+its last use, then it leaves, on request with a row that says so; a ledger may be given to start from. Needs the RocksDB state store
 (``use_rocksdb``).
 """
 
@@ -34,11 +34,14 @@ class Observer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # the state outlives its timer, which reads it once more
-        self.latest = handle.getValueState("latest", "factor double, revision int", ttlDurationMs=2 * self.kept_ms)
-        self.seen = handle.getMapState("seen", "seq long", "factor double", ttlDurationMs=2 * self.kept_ms)
+        # a state whose end is told waits for its timer; others leave by themselves
+        ttl = None if self.told else self.kept_ms
+        self.latest = handle.getValueState("latest", "factor double, revision int", ttlDurationMs=ttl)
+        self.seen = handle.getMapState("seen", "seq long", "factor double", ttlDurationMs=ttl)
 
     def _renew(self, timers) -> None:
+        if not self.told:
+            return
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.kept_ms)
@@ -86,7 +89,7 @@ def observe_revisions(stream: DataFrame, ledger: DataFrame | None = None, abs_to
 
     ``ledger``: code, day, factor, revision_no, the latest of each key counts; it is read at the stream's first start only.
     A change is told from the last value that was told, beyond both tolerances. Rows of a key in one batch go by ``seq``; a ``seq`` counts once
-    while its key is kept. A key that is silent for ``kept_ms`` is forgotten: a later value is its first again.
+    while it is kept, which is as long. A key that is silent for ``kept_ms`` is forgotten: a later value is its first again.
     """
     start = None if ledger is None else ledger.groupBy("code", "day").agg(F.max(F.struct("revision_no", "factor")).alias("l")).select("code", "day", "l.factor", "l.revision_no").groupBy("code", "day")
     return stream.groupBy("code", "day").transformWithStateInPandas(Observer(abs_tol, rel_tol, kept_ms, told), OUT, "Append", "ProcessingTime", start)
