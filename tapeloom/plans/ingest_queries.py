@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.operators import ingest as G
 from tapeloom.plans.base import query
 from tapeloom.plans.pit_queries import MEMBERS, members
+from tapeloom.sources import trade_files
 from tapeloom.sources.testmap import BARS, TICKS, code_of, daily_bars, table, ticks
 from tapeloom.streaming import pipeline as R
 
@@ -183,3 +185,27 @@ def r5b(spark: S, d: str) -> DataFrame:
 def r5c(spark: S, d: str) -> DataFrame:
     marks = daily_bars(spark, d).agg(F.max("day").alias("last_date")).select(F.lit("daily").alias("table_name"), "last_date")
     return G.deferred_watermark(marks, _ledger(spark, d))
+
+
+_HEADER, _BUY, _SELL = "证券代码,日期,成交价,数量,买卖\n", "买入", "卖出"
+
+
+@query("s11_trade_files", f"""SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS code, CAST(l_shipdate AS DATE) AS day, CASE WHEN l_returnflag = 'R' THEN '{_SELL}' ELSE '{_BUY}' END AS side,
+  l_extendedprice AS price, CAST(l_quantity AS BIGINT) AS volume FROM lineitem""")
+def s11_files(spark: S, d: str) -> DataFrame:
+    """All trades as files of a security's year, in three encodings by turns, read back as one table."""
+    year, by = F.year("l_shipdate"), F.col("l_orderkey") % len(trade_files.ENCODINGS)
+
+    def either(text: str) -> Column:
+        """``text`` in the file's encoding; an order mark stands in the header only."""
+        plain = ["utf-8", "utf-8", "gbk"]
+        return F.element_at(F.array(*[F.lit(text.encode(e)) for e in plain]), (F.col("kind") + 1).cast("int"))
+
+    line = F.concat_ws(",", code_of(F.col("l_suppkey")), F.col("l_shipdate").cast("date").cast("string"), F.col("l_extendedprice").cast("string"), F.col("l_quantity").cast("long").cast("string"), F.lit(""))
+    rows = table(spark, d, "lineitem").withColumn("kind", by).select("kind", F.concat_ws("/", "l_suppkey", year, "kind").alias("path"), F.hex(F.concat(
+        F.encode(line, "UTF-8"), F.when(F.col("l_returnflag") == "R", either(_SELL)).otherwise(either(_BUY)), F.encode(F.lit("\n"), "UTF-8"))).alias("line"))
+    bodies = rows.groupBy("path", "kind").agg(F.unhex(F.array_join(F.collect_list("line"), "")).alias("body"))
+    mark = F.when(F.col("kind") == 0, F.lit(b"\xef\xbb\xbf")).otherwise(F.lit(b""))
+    files = bodies.select("path", F.concat(mark, either(_HEADER), "body").alias("content"))
+    names = dict(zip(_HEADER.strip().split(","), ("code", "day", "price", "volume", "side")))
+    return trade_files.parse_files(files, T.StructType.fromDDL("code string, day date, side string, price double, volume long"), names)

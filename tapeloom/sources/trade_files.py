@@ -145,10 +145,17 @@ def parse_files(files: DataFrame, schema: T.StructType, rename: Mapping[str, str
         _reader(field.dataType)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=schema.names, dtype=object)
+
         for batch in batches:
+            rows: list[tuple] = []
             for path, content in zip(batch["path"], batch["content"]):
-                rows = list(parse(bytes(content), path, schema, names, encodings))
-                yield pd.DataFrame(rows, columns=schema.names).astype(object).where(lambda x: x.notna(), None)
+                rows += parse(bytes(content), path, schema, names, encodings)
+                if len(rows) >= 10_000:
+                    yield frame(rows)
+                    rows = []
+            yield frame(rows)
 
     return files.select("path", "content").mapInPandas(read, schema)
 
