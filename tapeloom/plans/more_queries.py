@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import indicators as ind
 from tapeloom.operators import adjust as A
 from tapeloom.operators import calendar as cal
+from tapeloom.operators import grains as G
 from tapeloom.operators import pit as P
 from tapeloom.plans.base import BY_CODE, query
 from tapeloom.sources.testmap import BARS, REPORTS, TICKS, TRADES, daily_bars, reports, table, ticks, trades
@@ -84,3 +85,43 @@ def u2(spark: S, d: str) -> DataFrame:
     a, b = (bars.where(F.year("day") == y).select("code").distinct() for y in (1995, 1996))
     common, either, only = a.intersect(b), a.union(b).distinct(), a.exceptAll(b)
     return common.agg(F.count("*").alias("common")).crossJoin(either.agg(F.count("*").alias("either"))).crossJoin(only.agg(F.count("*").alias("only_a")))  # one row each
+
+
+# groups that are a large part of a whole table
+
+FLAGGED = "SELECT l_returnflag, l_orderkey, l_linenumber, l_extendedprice AS price FROM lineitem"
+
+
+def _flagged(spark: S, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"))
+
+
+@query("w8_rank_in_grains", f"""SELECT l_returnflag, l_orderkey, l_linenumber, round((rank() OVER (PARTITION BY l_returnflag ORDER BY price) + (count(*) OVER (PARTITION BY l_returnflag, price) - 1) / 2.0)
+  / count(*) OVER (PARTITION BY l_returnflag), 9) AS pct FROM ({FLAGGED})""")
+def w8_grains(spark: S, d: str) -> DataFrame:
+    return G.percent_rank_average(_flagged(spark, d), "price", "pct", ["l_returnflag"], 4_000).select("l_returnflag", "l_orderkey", "l_linenumber", F.round("pct", 9).alias("pct"))
+
+
+@query("w9_winsorize_in_grains", f"""WITH r AS (SELECT *, floor(count(*) OVER (PARTITION BY l_returnflag) * 0.1) AS k, row_number() OVER (PARTITION BY l_returnflag ORDER BY price) AS a, row_number() OVER (PARTITION BY l_returnflag ORDER BY price DESC) AS d FROM ({FLAGGED})),
+c AS (SELECT *, max(CASE WHEN a = k + 1 THEN price END) OVER (PARTITION BY l_returnflag) AS lo, max(CASE WHEN d = k + 1 THEN price END) OVER (PARTITION BY l_returnflag) AS hi FROM r)
+SELECT l_returnflag, l_orderkey, l_linenumber, greatest(least(price, hi), lo) AS clipped FROM c""")
+def w9_grains(spark: S, d: str) -> DataFrame:
+    return G.winsorize(_flagged(spark, d), "price", "clipped", 0.1, ["l_returnflag"], 4_000).select("l_returnflag", "l_orderkey", "l_linenumber", "clipped")
+
+
+@query("d19_quantiles_in_grains", "SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(price, {q}), 6) AS {n}" for n, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))) + f" FROM ({FLAGGED}) GROUP BY 1")
+def d19_grains(spark: S, d: str) -> DataFrame:
+    got = G.quantiles(_flagged(spark, d), "price", ["l_returnflag"], 4_000, p05=0.05, p50=0.5, p95=0.95)
+    return got.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("p05", "p50", "p95")])
+
+
+VALUE = f"SELECT ts, id, 1e6 + sum(CASE WHEN kind = 'purchase' THEN price ELSE -price / 7 END) OVER (ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS v FROM ({TICKS})"
+
+
+@query("w10_m3_long_series", f"""WITH v AS ({VALUE}), p AS (SELECT ts, id, v, v / max(v) OVER (ORDER BY ts, id ROWS UNBOUNDED PRECEDING) - 1 AS fall, v / lag(v) OVER (ORDER BY ts, id) - 1 AS r FROM v)
+SELECT count(*) AS n, round(min(fall), 8) AS worst, round(arg_max(v, (ts, id)), 4) AS final, round(avg(r) * 1e6, 6) AS mean_return, round(stddev_samp(r) * 1e6, 5) AS deviation FROM p""")
+def w10_long(spark: S, d: str) -> DataFrame:
+    flow = F.when(F.col("kind") == "purchase", F.col("price")).otherwise(-F.col("price") / 7)
+    total = G.LongSeries(ticks(spark, d), "ts", ["id"], rows=4_000).running(sums={"v": flow}).let(v=F.lit(1e6) + F.col("v")).result("ts", "id", "v")
+    got = G.drawdown(total, "v", "ts", ["id"], rows=4_000)
+    return got.select("n", F.round("worst", 8).alias("worst"), F.round("final", 4).alias("final"), F.round(F.col("mean_return") * 1e6, 6).alias("mean_return"), F.round(F.col("deviation") * 1e6, 5).alias("deviation"))
