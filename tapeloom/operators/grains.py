@@ -49,6 +49,16 @@ class Grains:
         if self.parts > 1:
             self._split(sizes, dict(df.dtypes)[column])
 
+    @classmethod
+    def like(cls, other: "Grains", df: DataFrame) -> "Grains":
+        """The rows of another table, without groups, placed at the splitters of ``other``."""
+        own = cls.__new__(cls)
+        own.column, own.columns, own.rows, own.parts = other.column, list(df.columns), other.rows, other.parts
+        own.key, own.grain, own.held = spare(df.columns, "_key", "_grain", "_held")
+        own.df = df.withColumn(own.key, F.struct(F.lit(0).alias("all")))
+        own.large = None if other.large is None else other.large.select(F.col(other.key).alias(own.key), F.col(other.held).alias(own.held))
+        return own
+
     def _split(self, sizes: DataFrame, kind: str) -> None:
         k, m = self.key, self.parts
         large = sizes.where(F.col("n") > self.rows)

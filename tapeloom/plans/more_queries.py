@@ -10,6 +10,7 @@ from tapeloom.operators import adjust as A
 from tapeloom.operators import calendar as cal
 from tapeloom.operators import grains as G
 from tapeloom.operators import pit as P
+from tapeloom.operators import range_tree as R
 from tapeloom.plans.base import BY_CODE, query
 from tapeloom.sources.testmap import BARS, REPORTS, TICKS, TRADES, daily_bars, reports, table, ticks, trades
 
@@ -125,3 +126,15 @@ def w10_long(spark: S, d: str) -> DataFrame:
     total = G.LongSeries(ticks(spark, d), "ts", ["id"], rows=4_000).running(sums={"v": flow}).let(v=F.lit(1e6) + F.col("v")).result("ts", "id", "v")
     got = G.drawdown(total, "v", "ts", ["id"], rows=4_000)
     return got.select("n", F.round("worst", 8).alias("worst"), F.round("final", 4).alias("final"), F.round(F.col("mean_return") * 1e6, 6).alias("mean_return"), F.round(F.col("deviation") * 1e6, 5).alias("deviation"))
+
+
+SIDES = """WITH a AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders),
+b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 1013 = 3 THEN NULL ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey % 997 = 5 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 1499 <> 7
+  UNION ALL SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 1511 = 9)"""
+
+
+@query("j18_range_tree_diff", f"""{SIDES} SELECT o_orderkey, o_custkey, o_totalprice, CAST(sum(s) AS BIGINT) AS surplus FROM (SELECT *, 1 AS s FROM a UNION ALL SELECT *, -1 FROM b) GROUP BY ALL HAVING sum(s) <> 0""")
+def j18_tree(spark: S, d: str) -> DataFrame:
+    key, a = F.col("o_orderkey"), table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    b = a.where(key % 1499 != 7).select("o_orderkey", F.when(key % 1013 != 3, F.col("o_custkey")).alias("o_custkey"), F.when(key % 997 == 5, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"))
+    return R.diff_rows(a, b.unionByName(a.where(key % 1511 == 9)), "o_orderkey", 1_000)
