@@ -1,22 +1,27 @@
-"""Small frames that must read the same however often a task is repeated."""
+"""The folder that driver and executors share, and small frames that must read the same however often a task is repeated."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that driver and executors share (``spark.checkpoint.dir``).
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or the checkpoint folder already set.
 
     Only a local session that names none gets a temporary folder of its own; on a cluster a missing setting is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -23,7 +23,7 @@ from tapeloom.operators.kernels import spare
 ROWS, MOST_GRAINS = 20_000, 500_000
 
 
-def _below(splits: Column, value: Column, most: int) -> Column:
+def count_below(splits: Column, value: Column, most: int) -> Column:
     """How many of the ascending ``splits``, at most ``most`` of them, are smaller than ``value``: a search by halves."""
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
     return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(splits, at + step - 1) < value, step).otherwise(0))
@@ -83,7 +83,7 @@ class Grains:
             return self.df.withColumn(self.grain, F.when(value.isNull(), -1).otherwise(0))
         both = self.df.join(F.broadcast(self.large), self.key, "left")
         splits = F.coalesce(F.col(self.held), F.array().cast(dict(self.large.dtypes)[self.held]))
-        at = _below(splits, value, self.parts + 1)
+        at = count_below(splits, value, self.parts + 1)
         place = at * 2 + (F.get(splits, at) == value).cast("int") if singles else at
         return both.withColumn(self.grain, F.when(value.isNull(), -1).otherwise(F.coalesce(place, at * 2))).drop(self.held)
 

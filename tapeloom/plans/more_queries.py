@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions import indicators as ind
+from tapeloom.functions.shared import shared_folder
 from tapeloom.operators import adjust as A
 from tapeloom.operators import calendar as cal
 from tapeloom.operators import grains as G
 from tapeloom.operators import pit as P
 from tapeloom.operators import range_tree as R
 from tapeloom.plans.base import BY_CODE, query
+from tapeloom.sources.layout import write_by_curve
 from tapeloom.sources.testmap import BARS, REPORTS, TICKS, TRADES, daily_bars, reports, table, ticks, trades
 
 S = SparkSession
@@ -138,3 +142,11 @@ def j18_tree(spark: S, d: str) -> DataFrame:
     key, a = F.col("o_orderkey"), table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     b = a.where(key % 1499 != 7).select("o_orderkey", F.when(key % 1013 != 3, F.col("o_custkey")).alias("o_custkey"), F.when(key % 997 == 5, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"))
     return R.diff_rows(a, b.unionByName(a.where(key % 1511 == 9)), "o_orderkey", 1_000)
+
+
+@query("s7_bars_by_curve", BARS)
+def s7_curve(spark: S, d: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/bars-{uuid.uuid4().hex}"
+    bars = daily_bars(spark, d)
+    write_by_curve(bars, path, files=32)
+    return spark.read.schema(bars.schema).parquet(path)
