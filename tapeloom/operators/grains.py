@@ -6,7 +6,7 @@ one task's work; what the grains before it say (how many rows, their sum, their
 to the rows by broadcast. Only groups of more than ``rows`` rows have splitters. ``rows`` is raised until there are no
 more than ``MOST_GRAINS`` grains in all, which bounds what is broadcast.
 
-``df`` is read three times; give a written table where it is dear.
+``df`` is read several times (for ranks: sizes, splitters, grains, and its rows at splitters and between them); give a written table where it is dear. A table without groups is one group, whose splitters are one row.
 """
 
 from __future__ import annotations
@@ -61,8 +61,7 @@ class Grains:
 
     def _split(self, sizes: DataFrame, kind: str) -> None:
         k, m = self.key, self.parts
-        large = sizes.where(F.col("n") > self.rows)
-        names = large.select(k)
+        names = pinned(sizes.where(F.col("n") > self.rows).select(k))
         value = F.col(self.column)
         floating = kind in ("double", "float")
         sketched = F.when(~F.isnan(value), value) if floating else value
