@@ -122,9 +122,13 @@ def change_points(rows: DataFrame, value: str = "ratio", tolerance: float = 5e-4
 
 def ratio_segments(rows: DataFrame, value: str = "ratio", tolerance: float = 5e-4) -> DataFrame:
     """Per segment: first and last day, size, median ratio, dispersion (Q10)."""
-    seg = change_points(rows, value, tolerance)
-    return seg.groupBy("code", "segment").agg(F.min("day").alias("start"), F.max("day").alias("end"), F.count("*").alias("n"), F.percentile(value, 0.5).alias("ratio"),
-                                              (F.max(value) / F.min(value) - 1).alias("dispersion"))
+    return segment_summary(change_points(rows, value, tolerance), value)
+
+
+def segment_summary(seg: DataFrame, value: str = "ratio", time: str = "day") -> DataFrame:
+    """Per numbered segment: first and last day, size, median, dispersion (null where the least value is 0) (Q10)."""
+    return seg.groupBy("code", "segment").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n"), F.percentile(value, 0.5).alias("ratio"),
+                                              (F.max(value) / F.nullif(F.min(value), F.lit(0)) - 1).alias("dispersion"))
 
 
 def unexplained_boundaries(segments: DataFrame, ex_dates: DataFrame) -> DataFrame:

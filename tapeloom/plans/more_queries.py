@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import indicators as ind
 from tapeloom.functions.shared import shared_folder
 from tapeloom.operators import adjust as A
+from tapeloom.operators import breaks as B
 from tapeloom.operators import calendar as cal
 from tapeloom.operators import grains as G
 from tapeloom.operators import pit as P
@@ -132,6 +133,20 @@ def w10_long(spark: S, d: str) -> DataFrame:
     return got.select("n", F.round("worst", 8).alias("worst"), F.round("final", 4).alias("final"), F.round(F.col("mean_return") * 1e6, 6).alias("mean_return"), F.round(F.col("deviation") * 1e6, 5).alias("deviation"))
 
 
+MINUTES = f"SELECT kind AS code, date_trunc('minute', ts) AS minute, max(price) AS ratio FROM ({TICKS}) GROUP BY ALL"
+
+
+@query("w7_q10_segments_by_breaks", f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY minute) AS i FROM ({MINUTES})),
+w AS (SELECT code, i, minute, ratio, ratio AS ref, 1 AS segment FROM p WHERE i = 1
+  UNION ALL SELECT p.code, p.i, p.minute, p.ratio, CASE WHEN abs(p.ratio - w.ref) > 0.8 * abs(w.ref) THEN p.ratio ELSE w.ref END, w.segment + CASE WHEN abs(p.ratio - w.ref) > 0.8 * abs(w.ref) THEN 1 ELSE 0 END
+  FROM w JOIN p ON p.code = w.code AND p.i = w.i + 1)
+SELECT code, segment::BIGINT AS segment, min(minute) AS "start", max(minute) AS "end", count(*) AS n, round(median(ratio), 9) AS ratio, round(max(ratio) / nullif(min(ratio), 0) - 1, 6) AS dispersion FROM w GROUP BY code, segment""")
+def w7_breaks(spark: S, d: str) -> DataFrame:
+    minutes = ticks(spark, d).groupBy(F.col("kind").alias("code"), F.date_trunc("minute", "ts").alias("minute")).agg(F.max("price").alias("ratio"))
+    got = A.segment_summary(B.segments_by_breaks(minutes, tolerance=0.8, order="minute"), time="minute")
+    return got.select("code", "segment", "start", "end", "n", F.round("ratio", 9).alias("ratio"), F.round("dispersion", 6).alias("dispersion"))
+
+
 SIDES = """WITH a AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders),
 b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 1013 = 3 THEN NULL ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey % 997 = 5 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 1499 <> 7
   UNION ALL SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 1511 = 9)"""
