@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import fresh
+from tapeloom.llm.common import discard, fresh, materialize
 
 WINDOW = 256
 UNKNOWN = "und"
@@ -67,7 +67,8 @@ def fit_byte_cnn(texts: list[str], langs: list[str], labels: list[str], widths:
                     rng.normal(0, 0.2, (n, len(labels))).astype(np.float32), np.zeros(len(labels), np.float32))
     params = [model.embed, model.filters, model.bias, model.out, model.out_bias]
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    raw, y_all = [t.lower().encode() for t in texts], np.array([labels.index(x) for x in langs], np.int64)
+    place = {x: k for k, x in enumerate(labels)}
+    raw, y_all = [t.lower().encode() for t in texts], np.array([place[x] for x in langs], np.int64)
     for epoch in range(epochs):
         order = rng.permutation(len(raw))
         for at in range(0, len(order), batch):
@@ -107,25 +108,30 @@ def fit_byte_cnn(texts: list[str], langs: list[str], labels: list[str], widths:
 
 
 def train_langid(docs: DataFrame, train_if: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-                 max_rows_per_lang: int = 1500, crop: int = 400, max_langs: int = 200) -> ByteCNN:
-    """Fit on at most about ``max_rows_per_lang`` rows of each of the ``max_langs`` commonest languages.
+                 max_rows_per_lang: int = 1500, crop: int = 400, max_rows: int = 300_000) -> ByteCNN:
+    """Fit on at most about ``max_rows_per_lang`` rows of every language, fewer where all languages together would pass ``max_rows``.
 
-    Rows with null text, language or id are not used. From each sampled row a
+    No language is left out: the row of least hashed rank of each is always in
+    the sample. Rows with null text, language or id are not used. From each sampled row a
     crop of ``crop`` characters is taken, at a hashed position anywhere in the
-    text, so what reaches the driver is bounded by languages x rows x crop. The
+    text, so what reaches the driver is bounded by ``max_rows`` (or the number of languages,
+    if greater) x crop, as is the model by the number of languages. The
     sample follows from the rows alone, so every run fits the same model.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).where(train_if)
-    langs = known.groupBy(F.col(lang_col).alias("_y")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_y").limit(max_langs)
+    dice = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    langs = materialize(known.groupBy(F.col(lang_col).alias("_y")).agg(F.count("*").alias("_n"), F.min(dice).alias("_least")), "languages")
     names = sorted(r["_y"] for r in langs.select("_y").collect())
     if not names:
         return fit_byte_cnn([], [], [UNKNOWN])
-    dice = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    each = max(1, min(max_rows_per_lang, max_rows // len(names)))
     room = F.greatest(F.length(text_col) - crop, F.lit(0)) + 1
     start = 1 + F.pmod(F.xxhash64(F.col(id_col), F.lit("crop")), room)
+    first = F.col("_d") == F.col("_least")
     rows = (known.select(F.col(id_col).alias("_i"), F.col(lang_col).alias("_y"), dice.alias("_d"), F.substring(text_col, start.cast("int"), F.lit(crop)).alias("_t"))
-            .join(F.broadcast(langs), "_y").where(F.col("_d") * F.col("_n") < max_rows_per_lang)
-            .orderBy("_d", "_i", "_t").limit(2 * max_rows_per_lang * len(names)).select("_i", "_y", "_t").toPandas().sort_values(["_i", "_t"]))
+            .join(langs, "_y").where((F.col("_d") * F.col("_n") < each) | first)
+            .orderBy((~first), "_d", "_i", "_t").limit(2 * each * len(names)).select("_i", "_y", "_t").toPandas().sort_values(["_i", "_t"]))
+    discard(langs)
     return fit_byte_cnn(rows["_t"].tolist(), rows["_y"].tolist(), names)
 
 

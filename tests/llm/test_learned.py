@@ -25,6 +25,14 @@ def test_langid_edges(spark):
     assert langid.detect_language(odd, langid.train_langid(train.limit(0), F.lit(True))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_langid_leaves_no_language_out(spark):
+    """230 languages, one of them common and most of them with two rows, in room for fewer rows than the table has."""
+    texts = [f"q{k % 230:03d}z " * 12 for k in range(460)] + ["q000z and " * 12] * 2_000
+    train = docs(spark, texts).withColumn("lang", F.regexp_extract("text", "^(q[0-9]+)z", 1))
+    model = langid.train_langid(train, F.lit(True), max_rows=400)
+    assert model.labels == [f"q{k:03d}" for k in range(230)]
+
+
 def test_langid_sees_the_whole_text():
     model = langid.fit_byte_cnn(["the and of thing " * 20, "der und die nicht " * 20] * 20, ["en", "de"] * 20, ["de", "en"], epochs=6)
     text = "the and of thing " * 10 + "der und die nicht " * 400
