@@ -51,14 +51,30 @@ def _shape(segment: Column) -> Column:
             .when(F.length(segment) > 40, "*").otherwise(segment))
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", depth: int = 6, distinct_share: float = 0.5,
+def _levels(lexical: DataFrame, least: int) -> int:
+    """The fewest levels, ``least`` or more, at which paths cut to them still differ: doubled, then halved, over counts of hashed prefixes."""
+    def merges(k: int) -> bool:
+        cut = lexical.where(F.size("segs") > k).groupBy("host", F.xxhash64(F.slice("segs", 1, k))).agg(F.count("*").alias("n"))
+        return not cut.where("n > 1").isEmpty()
+
+    low, high = least - 1, least
+    while merges(high):
+        low, high = high, 2 * high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if merges(mid) else (low, mid)
+    return high
+
+
+def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", least_depth: int = 6, distinct_share: float = 0.5,
                least_seen: int = 20, z: float = 1.96, host_weight: float = 4.0, corpus_weight: float = 4.0, prior_weight: float = 2.0,
                threshold: float = 0.5) -> DataFrame:
     """(id, host, path, rule, verdict, template, purity) for every row of ``pages``.
 
     A null url, or one without ``://``, has an empty host and path and an empty
-    template. Segments beyond ``depth`` count as one: the tree has that many
-    levels, whatever the urls hold. Repeated rows stay rows;
+    template. The tree has as many levels as keep all paths apart that differ, and at least
+    ``least_depth``: below them each path is alone, and what is left of it counts as one segment.
+    A level takes a few jobs. Repeated rows stay rows;
     other columns are not carried, so their names cannot clash. Without any
     labelled url all templates have purity 0 and are allowed.
     """
@@ -70,9 +86,14 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     # one row per distinct (host, lexical segments): urls, labelled ones and blocked ones
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     shaped = F.transform(segments, _shape)
-    segs = F.when(F.size(shaped) > depth, F.concat(F.slice(shaped, 1, depth), F.array(F.lit("**")))).otherwise(shaped)
-    lexical = materialize(base.withColumn("segs", segs).groupBy("host", "segs").agg(
+    lexical = materialize(base.withColumn("segs", shaped).groupBy("host", "segs").agg(
         F.count("*").alias("n"), F.count("given").alias("known"), F.count_if(F.col("given") == "block").alias("bad")), "url-paths")
+    depth = _levels(lexical, least_depth)
+
+    def cut(path: Column) -> Column:
+        return F.when(F.size(path) > depth, F.concat(F.slice(path, 1, depth), F.array(F.lit("**")))).otherwise(path)
+
+    lexical, segs = lexical.withColumn("segs", cut(F.col("segs"))), cut(shaped)
 
     # a parent whose children hardly repeat gets a wildcard below it
     level = F.transform(F.sequence(F.lit(1), F.size("segs")), lambda k: F.struct(

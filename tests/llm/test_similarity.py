@@ -228,3 +228,16 @@ def test_url_tree_against_plain_python(spark):
         assert (r.host, r.path, r.rule, r.template) == (host, path, rule, template) and abs(r.purity - purity) < 1e-9, (urls_[k], r, template, purity)
         assert r.verdict == verdict or abs(purity - 0.5) < 1e-9
     assert len(got) == len(urls_)
+
+
+def test_url_tree_is_as_deep_as_its_paths(spark):
+    """Paths that differ at their ninth and tenth levels only (so ten levels keep them apart), some blocked and some allowed; and one path of 3,000 levels."""
+    deep = "http://h.test/a/b/c/d/e/f/g/h/"
+    urls_ = [f"{deep}good/{x}" for x in "pqr"] * 30 + [f"{deep}bad/{x}" for x in "pqr"] * 30 + ["http://h.test/" + "z/" * 3_000] * 3
+    frame = spark.createDataFrame([(k, u) for k, u in enumerate(urls_)], "page_id long, url string")
+    rules = [("block", "h.test", f"/a/b/c/d/e/f/g/h/bad/{x}") for x in "pq"] + [("allow", "h.test", f"/a/b/c/d/e/f/g/h/good/{x}") for x in "pq"]
+    got = {r.page_id: r for r in urls.judge_urls(frame, rules).collect()}
+    want = slow_urls(urls_, rules, depth=10)
+    for k, (host, path, rule, verdict, template, purity) in enumerate(want):
+        assert (got[k].rule, got[k].verdict, got[k].template) == (rule, verdict, template) and abs(got[k].purity - purity) < 1e-9
+    assert {got[k].verdict for k, u in enumerate(urls_) if u.endswith("bad/r")} == {"block"} and {got[k].verdict for k, u in enumerate(urls_) if u.endswith("good/r")} == {"allow"}
