@@ -1,6 +1,9 @@
 import random
+from functools import partial
 
 import corpus_pipeline
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +104,69 @@ def test_small_trie_nodes_and_one_large_group(spark):
 
 def test_chance_of_meeting():
     assert near_copies.chance_of_meeting(0.8, 250_000) > 0.9999 and near_copies.chance_of_meeting(0.9, 10 ** 10) > 0.9
+
+
+def prints(spark, f):
+    """Fingerprints as the nodes that the tries are built of, each its own root."""
+    table = pd.DataFrame({"node": np.arange(len(f)), "n": 100, **{f"f{k}": f[:, k].view(np.int64) for k in range(4)}, "root": np.arange(len(f))})
+    return spark.createDataFrame(table)
+
+
+def test_partners_whose_leading_bits_differ_in_every_rotation_meet(spark):
+    """The eighth bit of every rotation differs, so no node below depth 7 holds both: only a pair of nodes does."""
+    f = np.random.default_rng(5).integers(0, 2 ** 64, (602, 4), dtype=np.uint64)
+    f[601] = f[600] ^ np.uint64(0x0101010101010101)
+    rows = near_copies._node_pairs(prints(spark, f), 602, 32, 1, every=True)
+    work = partial(near_copies._nearest_apart, budget=near_copies.error_budget(602, 1))
+    found = near_copies._in_each_pair(rows, work, 0.8, "a long, b long, bits long").distinct().collect()
+    assert sorted(map(tuple, found)) == [(600, 601, 32), (601, 600, 32)]
+
+
+def test_large_node_pairs_give_way_to_their_children(spark):
+    """Every pair within the budget of all depths meets, though node pairs hold four rows at most; rows of one root do not."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2 ** 64, (12, 4), dtype=np.uint64)
+    noise = np.packbits(rng.random((240, 256)) < 0.08, axis=1).view(np.uint64)
+    f = base[np.arange(240) % 12] ^ noise
+    root = np.where(np.arange(240) % 12 == 0, 0, np.arange(240))
+    nodes = prints(spark, f).withColumn("root", F.when(F.col("node") % 12 == 0, 0).otherwise(F.col("node")))
+    budget = near_copies.error_budget(240, 2)
+    rows = near_copies._node_pairs(nodes, 240, 4, 2, every=True)
+    sizes = rows.groupBy("rot", "depth", "pa", "pb").count().where("depth < 64").agg(F.max("count")).first()[0]
+
+    def told(part, similarity):
+        part, own = near_copies._in_order(part)
+        node, out = part["node"].to_numpy(), [np.zeros((0, 2), np.int64)]
+        for i, j, _ in near_copies._in_budget(part, own, similarity, budget):
+            out.append(np.stack([node[i], node[j]], 1))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    found = near_copies._in_each_pair(rows, told, 0.8, "a long, b long")
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in found.collect()}
+    i, j = np.triu_indices(240, 1)
+    left = (np.bitwise_count(f[i] ^ f[j]).sum(1) <= near_copies.MAX_BITS) & (root[i] != root[j])
+    i, j = i[left], j[left]
+    meet = np.zeros(len(i), bool)
+    for r in range(4):  # rotations of 64 bits: a word leads, and is the path
+        meet |= near_copies._within(f[i, r] ^ f[j, r], budget, 0, 64)
+    assert sizes <= 4 and set(zip(i[meet], j[meet])) <= got <= set(zip(i, j)) and meet.sum() > 500
+    assert near_copies._met_before(f, i, j, 4, 4, budget).tolist() == meet.tolist()
+
+
+def test_groups_with_small_node_pairs(spark):
+    rnd = random.Random(8)
+    texts = []
+    for _ in range(6):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randrange(60, 300))]
+        for _ in range(8):
+            texts.append(" ".join(words))
+            words[rnd.randrange(len(words))] = f"w{rnd.randrange(5000)}"
+    want = slow_groups(texts, list(range(1, len(texts) + 1)))
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs(spark, texts), node_limit=4).collect()}
+    assert [got[k + 1] for k in range(len(texts))] == want
+
+
+def test_budget_keeps_the_chance_of_meeting():
+    """Every pair of few texts; at most a pair in thousands where a shared prefix of log2(texts / 2048) bits loses one in fifty."""
+    assert near_copies.error_budget(8192).tolist() == list(range(65))
+    assert near_copies.chance_of_meeting(0.8, 12_000_000) > 0.9999 and near_copies.chance_of_meeting(0.8, 10 ** 10) > 0.95
