@@ -82,9 +82,9 @@ def watermark_matrix(df: DataFrame, time: str, table: str) -> DataFrame:
 
 
 def minute_against_daily(minutes: DataFrame, daily: DataFrame, warn: float = 0.003, error: float = 0.005) -> DataFrame:
-    """Last minute close of a day against the daily close."""
-    last = minutes.groupBy("code", F.to_date("ts").alias("day")).agg(F.max_by("price", "ts").alias("last_price"))
-    dev = F.abs(F.col("last_price") / F.col("close") - 1)
+    """Last minute close of a day against the daily close (D13); minutes without a price do not count, and any price is infinitely far from a daily close of zero."""
+    last = minutes.groupBy("code", F.to_date("ts").alias("day")).agg(F.max_by("price", F.when(F.col("price").isNotNull(), F.col("ts"))).alias("last_price"))
+    dev = F.when(F.col("close") != 0, F.abs(F.col("last_price") / F.col("close") - 1)).when(F.col("last_price").isNotNull() & F.col("close").isNotNull(), float("inf"))
     return last.join(daily.select("code", "day", "close"), ["code", "day"]).withColumn("level", F.when(dev > error, "error").when(dev > warn, "warn").otherwise("ok"))
 
 

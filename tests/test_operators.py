@@ -168,3 +168,12 @@ def test_chosen_weights_against_pandas(spark):
         for c, w in zip(top, screen.min_variance(past[top].to_numpy().T, 0.0005)):
             want[(end.replace(day=1).date(), c)] = w
     assert len(want) >= 3 and {(m, c): pytest.approx(w, abs=1e-9) for m, c, w in zip(got.month, got.code, got.weight)} == want
+
+
+def test_minute_against_daily_with_zero_and_missing_prices(spark):
+    """D13 as its SQL has it: any price is an error against a daily close of zero, and the last price is the last one there is."""
+    t = [dt.datetime(2020, 1, 1, 9, k) for k in range(3)]
+    minutes = spark.createDataFrame([("zero", t[0], 0.0), ("off", t[0], 0.0), ("off", t[1], 5.0), ("gap", t[0], 9.0), ("gap", t[1], 10.0), ("gap", t[2], None), ("none", t[0], None)], "code string, ts timestamp, price double")
+    daily = spark.createDataFrame([("zero", t[0].date(), 0.0), ("off", t[0].date(), 0.0), ("gap", t[0].date(), 10.04), ("none", t[0].date(), 0.0)], "code string, day date, close double")
+    got = {r.code: (r.last_price, r.level) for r in audit.minute_against_daily(minutes, daily).collect()}
+    assert got == {"zero": (0.0, "error"), "off": (5.0, "error"), "gap": (10.0, "warn"), "none": (None, "ok")}
