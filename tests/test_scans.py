@@ -106,3 +106,42 @@ def test_variable_extreme_against_slices(spark):
             assert seen[code, day] == want
     assert full > 30 and len(seen) == len(rows)
     assert scans.variable_extreme(df.limit(0), "x", "n", "hi").count() == 0
+
+
+@pytest.mark.parametrize("width", [7, 10_000])
+def test_means_of_means_in_one_scan(spark, width):
+    """Chains three deep and of a weighted difference, with the values before: each as a fold of its own over the values of the one before."""
+    s = scans.Scans(frame(spark, DATA), F.unix_date("day") - F.unix_date("day") % width)
+    steps = {"a": scans.ema_step(F.col("x"), 5), "b": scans.ema_step(F.col("x"), 12), "c": scans.ema_of(3, a=1, b=-2), "d": scans.ema_of(4, c=1), "e": scans.ema_of(6, d=0.5)}
+    got = s.scan(before={"e0": "e", "a0": "a"}, **steps).result(*steps, "e0", "a0")
+    for code, rows in _by_code(got).items():
+        xs = DATA[code]
+        n = len(xs)
+        a, b = folded(xs, [2 / 6] * n), folded(xs, [2 / 13] * n)
+        c = folded([None if v is None else v - 2 * w for v, w in zip(a, b)], [2 / 4] * n)
+        d = folded(c, [2 / 5] * n)
+        e = folded([None if v is None else v / 2 for v in d], [2 / 7] * n)
+        assert len(rows) == n
+        for k, want in enumerate((a, b, c, d, e, [None, *e[:-1]], [None, *a[:-1]])):
+            got_k = [r[2 + k] for r in rows]
+            assert [v is None for v in got_k] == [v is None for v in want]
+            assert [v for v in got_k if v is not None] == pytest.approx([v for v in want if v is not None], rel=1e-9, abs=1e-9)
+
+
+def _exchanges(df):
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    return [line for line in plan.splitlines() if "ReusedExchange" not in line and ("Exchange hashpartitioning" in line or "Exchange SinglePartition" in line)]
+
+
+# besides the one deal of the rows, a scan may deal buckets twice: to their series, and back
+@pytest.mark.parametrize("name, most", [("trix", 3), ("kdj", 3)])
+def test_rows_are_dealt_once(spark, name, most):
+    s = scans.Scans(frame(spark, {"a": series(8, 300, 0), "b": series(3, 40, 0)}).select("code", "day", "x"), F.trunc("day", "month"))
+    run = {"trix": lambda: scans.trix(s, "x").result("trix"), "macd": lambda: scans.macd(s, "x").result("macd"), "rsi": lambda: scans.rsi(s, "x", 6, 24).result("rsi6", "rsi24"), "kdj": lambda: scans.kdj(s, F.col("x")).result("j")}
+    found = _exchanges(run[name]())
+    assert len(found) <= most and sum("REPARTITION_BY_COL" in x for x in found) == 1
