@@ -139,7 +139,7 @@ def _exchanges(df):
 
 
 # besides the one deal of the rows, a scan may deal buckets twice: to their series, and back
-@pytest.mark.parametrize("name, most", [("trix", 3), ("rsi", 5), ("kdj", 3)])
+@pytest.mark.parametrize("name, most", [("trix", 3), ("macd", 3), ("rsi", 5), ("kdj", 3)])
 def test_rows_are_dealt_once(spark, name, most):
     s = scans.Scans(frame(spark, {"a": series(8, 300, 0), "b": series(3, 40, 0)}).select("code", "day", "x"), F.trunc("day", "month"))
     run = {"trix": lambda: scans.trix(s, "x").result("trix"), "macd": lambda: scans.macd(s, "x").result("macd"), "rsi": lambda: scans.rsi(s, "x", 6, 24).result("rsi6", "rsi24"), "kdj": lambda: scans.kdj(s, F.col("x")).result("j")}
