@@ -145,3 +145,14 @@ def test_rows_are_dealt_once(spark, name, most):
     run = {"trix": lambda: scans.trix(s, "x").result("trix"), "macd": lambda: scans.macd(s, "x").result("macd"), "rsi": lambda: scans.rsi(s, "x", 6, 24).result("rsi6", "rsi24"), "kdj": lambda: scans.kdj(s, F.col("x")).result("j")}
     found = _exchanges(run[name]())
     assert len(found) <= most and sum("REPARTITION_BY_COL" in x for x in found) == 1
+
+
+def test_look_backs_deal_rows_once(spark):
+    """No join and no second deal, of one extreme after another or of both at once, which are the same; look-backs without end need no more levels than the series has."""
+    df = frame(spark, {"a": series(8, 300, 0), "b": series(3, 40, 0.1), None: series(2, 9, 0)}).select("code", "day", "x", F.when(F.col("n") > 6, float("inf")).otherwise(F.col("n") * F.day("day")).alias("n"))
+    one = scans.variable_extreme(scans.variable_extreme(df, "x", "n", "hi"), "x", "n", "lo", low=True)
+    both = scans.variable_extremes(df, "x", "n", "hi", "lo")
+    assert len(_exchanges(one)) == len(_exchanges(both)) == 1
+    want = sorted(map(str, one.collect()))
+    assert sorted(map(str, both.select(*one.columns).collect())) == want and len(want) == 349
+    assert one.where("hi > lo").count() > 30
